@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronomill.plans import ledgers
+from chronomill.plans import ledgers, retrieval, store
 
-MODULES = (ledgers,)
+MODULES = (ledgers, store, retrieval)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledgers.p6_attributes(spark, sf_dir)
+    return retrieval.retrieve_full(spark, sf_dir)
