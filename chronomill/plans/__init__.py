@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronomill.plans import evaluation, ledgers, retrieval, store
+from chronomill.plans import evaluation, ledgers, matching, retrieval, store
 
-MODULES = (ledgers, store, retrieval, evaluation)
+MODULES = (ledgers, store, retrieval, evaluation, matching)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
