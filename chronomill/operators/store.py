@@ -38,17 +38,18 @@ def written(df: DataFrame) -> DataFrame:
     )
 
 
-def replay(writes: DataFrame) -> DataFrame:
+def replay(writes: DataFrame, closing: DataFrame | None = None) -> DataFrame:
     """State after all writes in arrival order: the last write of an id replaces it, and each write first
     closes the record it supersedes at its own tick, where that record ends later.
 
     Only writes that arrive after the last write of their target still show, and the earliest of their ticks
-    decides, so no order has to be replayed row by row.
+    decides, so no order has to be replayed row by row. ``closing`` restricts the writes that close others, for
+    rows of an earlier state among ``writes`` whose own closing has been done.
     """
     rest = [c for c in writes.columns if c not in ("id", "ingest_seq")]
     last = writes.groupBy("id").agg(F.max("ingest_seq").alias("ingest_seq"), F.max_by(F.struct(*rest), "ingest_seq").alias("_r"))
     last = last.select("id", "ingest_seq", "_r.*")
-    closing = writes.where("supersedes is not null").select(
+    closing = (writes if closing is None else closing).where("supersedes is not null").select(
         F.col("supersedes").alias("id"), F.col("created_at").alias("_tick"), F.col("ingest_seq").alias("_seq")
     )
     target = last.select("id", F.col("ingest_seq").alias("_last"), F.col("valid_to").alias("_ends"))
@@ -63,6 +64,11 @@ def replay(writes: DataFrame) -> DataFrame:
     )
 
 
+def fold(state: DataFrame | None, batch: DataFrame) -> DataFrame:
+    """The state after a further batch of writes, all of which arrived after those of the state."""
+    return replay(batch) if state is None else replay(state.unionByName(batch), closing=batch)
+
+
 def deliveries(v1: DataFrame) -> DataFrame:
     """The first delivery of each record of the v1 store, with clean references and open ends as infinity."""
     rest = [c for c in v1.columns if c not in ("memory_id", "ingest_seq")]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomill.common import OPEN_END, WHITE_SPACE, norm_key, table
+from chronomill.common import OPEN_END, WHITE_SPACE, cut, norm_key, table
 from chronomill.operators import asof, hierarchy, history, intervals, references
 
 
-def orphan_state(spark: SparkSession, d: str) -> references.OrphanState:
+def journal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """References and target rows of all tables."""
     records, v1, evidence = (table(spark, d, t) for t in ("memory_records", "memory_records_v1", "evidence"))
     refs = (
         references.array_refs(records, "evidence_ids", "evidence", "evidence_ids", "ingest_seq", "created_at")
@@ -21,7 +22,11 @@ def orphan_state(spark: SparkSession, d: str) -> references.OrphanState:
         .unionByName(references.parent_rows(records, "record", "id", "created_at"))
         .unionByName(references.parent_rows(v1, "record_v1", "memory_id", "observed_at"))
     )
-    return references.advance(None, refs, parents)
+    return refs, parents
+
+
+def orphan_state(spark: SparkSession, d: str) -> references.OrphanState:
+    return references.advance(None, *journal(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +113,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def orphans_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans with the state advanced by one batch per 25,000 ticks instead of once for the whole journal."""
+    refs, parents = journal(spark, d)
+    state = None
+    step = lambda c: F.floor(F.coalesce(F.col(c), F.lit(0.0)) / 25_000)
+    last = parents.agg(F.max(step("first_at"))).first()[0] or 0
+    for k in range(int(last) + 1):
+        here = lambda c, k=k: step(c) == k if k < last else step(c) >= k
+        state = references.advance(state, refs.where(here("ref_at")), parents.where(here("first_at")))
+        state = references.OrphanState(cut(state.parents), cut(state.watched))
+    return state.orphans().select("ref_field", "ingest_seq", "ref_key")
+
+
 QUERIES = {
+    "orphans_incremental": orphans_incremental,
     "p2_found": p2_found,
     "p2_periods": p2_periods,
     "p3_found": p3_found,
@@ -125,7 +144,7 @@ def _key(c: str) -> str:
     return f"nullif(lower(regexp_replace({c}, '^[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\x{{3000}}\\x{{2000}}-\\x{{200A}}]+|[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\x{{3000}}\\x{{2000}}-\\x{{200A}}]+$', '', 'g')), '')"
 
 
-_ORPHANS = f"""
+ORPHANS_SQL = f"""
 with refs as (
   select 'evidence_ids' as ref_field, 'e' as kind, ingest_seq, created_at::double as tk,
          unnest(list_distinct(list_transform(evidence_ids, lambda x: {_key('x')}))) as ref_key from memory_records
@@ -149,10 +168,40 @@ w as (
   qualify row_number() over (partition by id, created_at order by ingest_seq desc) = 1
 )"""
 
+_FOUND = " select ref_field, ingest_seq, ref_key from watched where first_at is null or first_at > tk or coalesce(gone_at <= tk, false)"
+
+_VERSIONS = "with" + _COUNTING.format(sup=_key("supersedes"), st="lower(trim(status))") + """, c as (
+  select * from w window o as (partition by id order by created_at) qualify lag(created_at) over o is null or lag(valid_from) over o is distinct from valid_from or lag(vt) over o is distinct from vt
+    or lag(sup) over o is distinct from sup or lag(st) over o is distinct from st
+), v as (select *, created_at as version_from, coalesce(lead(created_at) over (partition by id order by created_at), 999999999) as version_to from c)"""
+
 ORACLES = {
-    "p2_found": _ORPHANS
-    + " select ref_field, ingest_seq, ref_key from watched where first_at is null or first_at > tk or coalesce(gone_at <= tk, false)",
-    "p2_periods": _ORPHANS
+    "orphans_incremental": ORPHANS_SQL + _FOUND,
+    "p3_history": _VERSIONS + " select id, version_from, version_to, valid_from, vt as valid_to, sup as supersedes, st as status from v",
+    "p5_found": f"""
+with recursive ids as (select distinct memory_id as id from memory_records_v1 where memory_id <> ''),
+e as (
+  select distinct link, child, parent from (
+    select 'supersedes' as link, memory_id as child, {_key('supersedes')} as parent from memory_records_v1
+    union all select 'depends_on', memory_id, {_key('u')} from (select memory_id, unnest(depends_on) as u from memory_records_v1))
+  where parent in (select id from ids)
+), reach as (select link, child, parent from e union select r.link, r.child, e.parent from reach r join e on e.link = r.link and e.child = r.parent),
+cyc as (select a.link, a.child as id, min(a.parent) as least from reach a join reach b on a.link = b.link and a.child = b.parent and a.parent = b.child group by all),
+walk as (
+  select e.link, e.child, e.parent as at, 1::bigint as depth from e where (e.link, e.child) not in (select (link, id) from cyc)
+  union select w.link, w.child, e.parent, w.depth + 1 from walk w join e on e.link = w.link and e.child = w.at where (w.link, w.at) not in (select (link, id) from cyc)
+)
+select link, id as memory_id, least as root_id, -1::bigint as depth from cyc
+union select w.link, w.child, c.least, -1 from walk w join cyc c on c.link = w.link and c.id = w.at
+union select w.link, w.child, w.at, w.depth from walk w where (w.link, w.at) not in (select (link, id) from cyc) and (w.link, w.at) not in (select (link, child) from e)""",
+    "p6_attributes": f"""
+with e as (select distinct event_id, task_id, as_of, {_key('record_id')} as rid from episode_events),
+w as (select * from memory_records qualify row_number() over (partition by id, created_at order by ingest_seq desc) = 1)
+select event_id, ingest_seq, as_of, created_at, valid_from, valid_to, status from e asof join w on e.rid = w.id and e.as_of >= w.created_at
+where (task_scope = 'global' or task_scope = task_id) and valid_from <= as_of and as_of < coalesce(valid_to, 999999999)""",
+    "p2_found": ORPHANS_SQL
+    + _FOUND,
+    "p2_periods": ORPHANS_SQL
     + """, events as (
   select ref_field, tk as tick, case when first_at is null then 'never' when gone_at <= tk then 'deleted' when first_at > tk then 'later' end as event from watched
   union all select ref_field, first_at, 'resolved' from watched where first_at > tk and (gone_at is null or gone_at > first_at)
@@ -164,12 +213,7 @@ ORACLES = {
 )
 select *, n_never + n_deleted + n_later as n_orphans,
   sum(n_never + n_deleted + n_later + n_reopened - n_resolved) over (partition by ref_field order by period)::bigint as n_waiting from counts""",
-    "p3_found": "with"
-    + _COUNTING.format(sup=_key("supersedes"), st="lower(trim(status))")
-    + """, c as (
-  select * from w window o as (partition by id order by created_at) qualify lag(created_at) over o is null or lag(valid_from) over o is distinct from valid_from or lag(vt) over o is distinct from vt
-    or lag(sup) over o is distinct from sup or lag(st) over o is distinct from st
-) select id, created_at as version_from, coalesce(lead(created_at) over (partition by id order by created_at), 999999999) as version_to from c""",
+    "p3_found": _VERSIONS + " select id, version_from, version_to from v",
     "p6_found": f"""
 with e as (select distinct event_id, task_id, as_of, {_key('record_id')} as rid from episode_events),
 w as (select * from memory_records qualify row_number() over (partition by id, created_at order by ingest_seq desc) = 1)
