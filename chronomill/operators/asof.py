@@ -7,7 +7,7 @@ and the events of a block are dealt to several groups.
 
 Defined cases: an event without entity or time has no answer; entities are compared trimmed and in lower
 case; of writes at one tick the greatest sequence counts (a null one counts least); writes without a
-recorded time never stand; events delivered twice come out once.
+recorded time never stand; events delivered twice come out once, events without a key as often as they come.
 """
 
 from __future__ import annotations
@@ -50,8 +50,10 @@ def _solve(writes: pa.Table, events: pa.Table) -> pa.Table:
     codes = both.dictionary_encode().indices.to_numpy().astype(np.int64)
     num = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
     at, found = latest_by(codes[:n], num(writes, "_at"), num(writes, "_seq"), codes[n:], num(events, "_at"))
-    # Equal events meet in one group, so the first of each key is enough.
-    first = np.unique(events.column(3).combine_chunks().dictionary_encode().indices.to_numpy(), return_index=True)[1]
+    # Equal events meet in one group, so the first of each key is enough; events without a key all stay.
+    seen = events.column(3).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
+    seen = np.where(seen < 0, -1 - np.arange(len(seen)), seen)
+    first = np.unique(seen, return_index=True)[1]
     keep = np.sort(first[found[first]])
     left = events.drop_columns(["_group", "_entity", "_at"]).take(pa.array(keep))
     right = writes.drop_columns(["_group", "_deal", "_entity"]).take(pa.array(at[keep]))

@@ -205,8 +205,11 @@ def _resolve(rows: DataFrame, width: int, n_blocks: int, task_rows: int, paths:
             solved = _contracted(quotient, width, True, paths)
         else:
             solved = _resolve(cut(_contracted(quotient, width, False, paths)), width, n_blocks, task_rows, paths)
-    done = rows.where(F.col("kind") != EXIT)
-    return _unique(done.unionByName(_joined(exits, solved)), paths)
+    # What the quotient answers about its own records holds; a record on a cycle has no other ends.
+    rest = rows.join(targets, ["link", "node"], "left_anti").select(*rows.columns) if n else rows
+    done, exits = rest.where(F.col("kind") != EXIT), rest.where(F.col("kind") == EXIT)
+    ends = done.unionByName(_joined(exits, solved))
+    return _unique(ends.unionByName(solved) if n else ends, paths)
 
 
 def walks(
