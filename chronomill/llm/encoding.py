@@ -8,7 +8,7 @@ place, the ids around the join are decoded back to the nearest certain places on
 again, so the result is exactly that of encoding the whole text.
 
 Defined cases: null and empty texts have the empty list; texts that spell special tokens are ordinary text;
-a document id that occurs twice gives a row each only if ids are unique per row (they identify documents).
+a document delivered twice comes out once, an id with several texts once for each.
 """
 
 from __future__ import annotations
@@ -88,15 +88,16 @@ def _key(chunk: str) -> bytes:
 def _refs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each chunk of each document, in order; one without a key for a document without chunks."""
     for b in batches:
-        ids, pos, certain, keys, at = [], [], [], [], []
+        pos, certain, keys, at = [], [], [], []
         for row, parts in enumerate(chunks([t or "" for t in b.column(1).to_pylist()])):
             for k, part in enumerate(parts or [None]):
                 at.append(row)
                 pos.append(k)
                 keys.append(part and _key(part))
                 certain.append(k == 0 or is_joint(parts[k - 1][-1], part[0]))
-        cols = [b.column(0).take(pa.array(at, pa.int32())), pa.array(pos, pa.int32()), pa.array(certain, pa.bool_()), pa.array(keys, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "pos", "certain", "key"])
+        own = [b.column(c).take(pa.array(at, pa.int32())) for c in (0, 2)]
+        cols = [*own, pa.array(pos, pa.int32()), pa.array(certain, pa.bool_()), pa.array(keys, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "pos", "certain", "key"])
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +175,8 @@ def _documents(directory: str, name: str) -> Callable:
         for b in batches:
             ids = []
             for parts in b.column(1).to_pylist():
-                own = [(p["certain"], p["ids"]) for p in sorted(parts, key=lambda p: p["pos"]) if p["ids"] is not None]
+                by_pos = {p["pos"]: p for p in parts if p["ids"] is not None}
+                own = [(by_pos[k]["certain"], by_pos[k]["ids"]) for k in sorted(by_pos)]
                 ids.append(joined(own, encode, table))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -184,11 +186,12 @@ def _documents(directory: str, name: str) -> Callable:
 def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", directory: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids) of every document."""
     id_type = docs.schema[doc_id].dataType.simpleString()
-    refs = docs.select(doc_id, text).mapInArrow(_refs, f"doc_id {id_type}, pos int, certain boolean, key binary")
+    whole_text = F.xxhash64(text).alias("text_hash")
+    refs = docs.select(doc_id, text, whole_text).mapInArrow(_refs, f"doc_id {id_type}, text_hash bigint, pos int, certain boolean, key binary")
     # A chunk reaches the shuffle once per task that has it, and is encoded once.
     texts = docs.select(text).mapInArrow(_distinct, "key binary, text string").repartition("key")
     encoded = texts.mapInArrow(_encoded(directory, name), "key binary, ids array<int>")
     # Chunks that a large part of the corpus shares crowd the references' side, which is split when oversized.
-    parts = refs.join(encoded, "key", "left").select("doc_id", F.struct("pos", "certain", "ids").alias("part"))
-    whole = parts.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
+    parts = refs.join(encoded, "key", "left").select("doc_id", "text_hash", F.struct("pos", "certain", "ids").alias("part"))
+    whole = parts.groupBy("doc_id", "text_hash").agg(F.collect_list("part").alias("parts")).drop("text_hash")
     return whole.mapInArrow(_documents(directory, name), f"doc_id {id_type}, ids array<int>")

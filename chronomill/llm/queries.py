@@ -40,7 +40,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p9_templates(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return p10_pieces(spark, d).where("piece_no = 0").select("doc_id")
+    return p10_pieces(spark, d).where("piece_no = 0").select("doc_id").distinct()
 
 
 QUERIES = {
@@ -73,4 +73,19 @@ QUERIES = {
     "p10_pieces": p10_pieces,
 }
 
-ORACLES: dict[str, str] = {}
+_NAMES = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: true)"
+
+ORACLES: dict[str, str] = {
+    "p9_found": f"""
+with d as (select doc_id, {_NAMES} as w from documents), i as (select item_id, {_NAMES} as w from eval_items),
+dw as (select doc_id, array_to_string(w[k : k + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d)),
+iw as (select distinct item_id, array_to_string(w[k : k + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i))
+select distinct doc_id, item_id from dw join iw using (g)""",
+    "p9_items": f"""
+with d as (select doc_id, {_NAMES} as w from documents), i as (select item_id, split, {_NAMES} as w from eval_items),
+dw as (select doc_id, array_to_string(w[k : k + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d)),
+iw as (select distinct item_id, array_to_string(w[k : k + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i)),
+n as (select item_id, count(distinct doc_id) as n from dw join iw using (g) group by 1),
+f as (select i.item_id, split, coalesce(n, 0) as n_docs from i left join n using (item_id))
+select *, rank() over (partition by split order by n_docs desc)::int as rank from f""",
+}
