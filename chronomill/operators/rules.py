@@ -140,3 +140,84 @@ def attribution(claim: str, gold: str, diff: Column) -> Column:
 
 def leakage_level(defines_target: Column, migration: Column, near: Column, hinted: Column) -> Column:
     return first_match([("TRIVIALIZES_TASK", defines_target | migration), ("NEAR_SOLUTION", near), ("HINTED", hinted)], "NONTRIVIAL")
+
+
+def graded(checks: Sequence[Column]) -> Column:
+    """ENTAILED if all checks hold, PARTIAL if any does, else NOT_ENTAILED; null checks do not hold."""
+    held = F.array(*[F.coalesce(c, F.lit(False)) for c in checks])
+    return first_match([("ENTAILED", F.forall(held, lambda x: x)), ("PARTIAL", F.exists(held, lambda x: x))], "NOT_ENTAILED")
+
+
+def symbol_state(found: Column, deprecated: Column, hooked: Column, missing: str = "absent") -> Column:
+    """State of a symbol on one side of a change, from what its definitions say."""
+    return first_match([(missing, ~F.coalesce(found, F.lit(False))), ("deprecated_getattr", hooked), ("deprecated_warn", deprecated)], "exists_active")
+
+
+def later_knowledge(statement: Column, base: Column, commit: Column, number: Column, replacements: Column) -> Column:
+    """What a statement knows that its base text cannot: the change's number or commit, later wordings, new names."""
+    said, known = F.lower(F.coalesce(statement, F.lit(""))), F.lower(F.coalesce(base, F.lit("")))
+    short = F.lower(F.left(commit, F.lit(8)))
+    names = F.filter(F.transform(F.coalesce(replacements, F.array().cast("array<string>")), lambda r: F.lower(F.trim(r))), lambda r: (F.length(r) >= 4) & ~F.contains(known, r))
+    padded = F.concat(F.lit(" "), F.regexp_replace(said, r"[^\p{L}\p{N}_]", " "), F.lit(" "))
+    hits = F.array(
+        F.when((number != "") & F.contains(said, F.concat(F.lit("#"), number)), "number"),
+        F.when((F.length(short) == 8) & F.contains(said, short), "commit"),
+        F.when(F.size(tx.terms_beyond(said, known, FUTURE_TERMS)) > 0, "wording"),
+        F.when(F.exists(names, lambda r: F.contains(padded, F.concat(F.lit(" "), r, F.lit(" ")))), "replacement"),
+    )
+    return F.filter(hits, lambda h: h.isNotNull())
+
+
+def factuality(leaks: Column, grounded: Column, contradicted: Column) -> Column:
+    """Deterministic judgement, failing closed: contradiction first, then support needs grounding and isolation."""
+    return first_match([("CONTRADICTED", contradicted), ("FACTUALLY_SUPPORTED", grounded & (F.size(leaks) == 0))], "INSUFFICIENT_EVIDENCE")
+
+
+_DOCS, _TESTS = r"^docs?/|\.(?:md|rst|txt)$", r"^(?:test|tests|testing)/"
+
+
+def change_triage(paths: Column, n_changes: Column, n_public: Column) -> Column:
+    """What a change touches: nothing, documents only, tests only, no Python, layout only, an API, or noise."""
+    python = F.filter(paths, lambda p: F.endswith(p, F.lit(".py")))
+    return first_match(
+        [
+            ("REJECT_EMPTY", F.size(paths) == 0),
+            ("REJECT_DOCS_ONLY", F.forall(paths, lambda p: p.rlike(_DOCS))),
+            ("REJECT_TEST_ONLY", (F.size(python) > 0) & F.forall(python, lambda p: p.rlike(_TESTS))),
+            ("REJECT_NON_PYTHON", F.size(python) == 0),
+            ("REJECT_FORMAT_ONLY", n_changes == 0),
+            ("HIGH_CONFIDENCE", n_public > 0),
+        ],
+        "NOISE",
+    )
+
+
+def merge_kind(merged: Column, merge_commit: Column, head: Column, target: Column, head_reaches: Column, message: Column, number: Column) -> Column:
+    """How a change came in: by merge commit, fast forward, rebase, squash, or unknown."""
+    short = F.lower(F.left(target, F.lit(8)))
+    is_ = lambda c: F.startswith(F.lower(c), short)
+    named = F.contains(message, F.concat(F.lit("#"), number))
+    return first_match([("unknown", ~merged), ("merge_commit", is_(merge_commit)), ("fast_forward", is_(head)), ("rebase_ancestor", head_reaches), ("squash_merge", named)], "unknown")
+
+
+# Wordings of migration advice in comments.
+_ADVICE = r"(?im)^[ \t]*(?:#|\*|\"\"\").*(?:use .* instead of|deprecated.*use|replaced by|migrate from|in favor of)"
+
+
+def context_leakage(context: Column, target: Column, replacements: Column) -> Column:
+    """Whether a context defines the target, hints at its replacement or a migration, or neither."""
+    text, name = F.coalesce(context, F.lit("")), tx.short_symbol(target)
+    defined = F.regexp_extract_all(text, F.lit(r"(?:def|class)\s+([A-Za-z_]\w*)\s*[:(]"), F.lit(1))
+    used = tx.tokens(text)
+    hinted = F.exists(F.coalesce(replacements, F.array().cast("array<string>")), lambda r: (F.length(F.trim(r)) >= 3) & F.array_contains(used, F.lower(F.trim(r))))
+    return leakage_level(F.array_contains(defined, name), F.lit(False), F.lit(False), hinted | text.rlike(_ADVICE))
+
+
+def provenance(parts: Sequence[tuple[Column, Column]], others: Sequence[Column]) -> Column:
+    """Whether each text has its recorded digest (an empty record never does) and all other checks hold."""
+    ok = F.lit(True)
+    for text, digest in parts:
+        ok = ok & (F.coalesce(digest, F.lit("")) != "") & F.coalesce(F.sha2(text, 256) == digest, F.lit(False))
+    for o in others:
+        ok = ok & F.coalesce(o, F.lit(False))
+    return F.when(ok, "VERIFIED").otherwise("FAILED")

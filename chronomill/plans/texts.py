@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronomill.common import table
+from chronomill.functions import code
 from chronomill.functions import text as tx
 from chronomill.operators import rules
 from chronomill.plans import sql
@@ -166,11 +167,76 @@ def leakage_levels(spark: SparkSession, d: str) -> DataFrame:
     return one.select("task_id", level.alias("level"))
 
 
+def support_grades(spark: SparkSession, d: str) -> DataFrame:
+    """How many of four checks tie a record's statement to its own artifact and symbol."""
+    v = v1_records(spark, d)
+    said = F.lower(F.coalesce("statement", F.lit("")))
+    checks = [F.contains(said, F.lit("_")), F.contains(said, F.lower(tx.basename("artifact_uri"))), rules.states_direction(F.col("statement")), F.contains(said, F.lower("symbol"))]
+    return v.select("memory_id", rules.graded(checks[:1] + checks[2:3]).alias("wording"), rules.graded(checks).alias("support"))
+
+
+def later_knowledge(spark: SparkSession, d: str) -> DataFrame:
+    """What statements know beyond their artifact's path, with the record's number and commit as the change's."""
+    v = v1_records(spark, d).where("statement is not null")
+    text = F.concat_ws(" ", "statement", F.when(F.pmod("ingest_seq", F.lit(4)) == 0, F.concat(F.lit("#"), F.col("ingest_seq").cast("string"))), F.when(F.pmod("ingest_seq", F.lit(4)) == 1, F.lit("in favor of release_queue")))
+    leaks = rules.later_knowledge(text, F.col("artifact_uri"), F.lit("abcdef0123"), F.col("ingest_seq").cast("string"), F.array(F.lit("release_queue"), F.lit("abc")))
+    grounded = F.contains(F.lower("statement"), F.lit("src/"))
+    return v.select("memory_id", F.array_join(leaks, ",").alias("leaks"), rules.factuality(leaks, grounded, F.contains(F.lower("statement"), F.lit("never"))).alias("factuality"))
+
+
+def change_triage(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks by what their transition touches; names of functions count as public unless they begin with an underscore."""
+    t = table(spark, d, "task_environments").where("task_id is not null").select("task_id", F.coalesce(F.map_keys("workspace_transition"), F.array().cast("array<string>")).alias("p"), F.array_join(F.map_values("workspace_transition"), "\n").alias("c"))
+    one = t.groupBy("task_id").agg(F.max(F.struct(F.array_sort("p").alias("paths"), "c")).alias("t")).select("task_id", "t.*")
+    names = F.regexp_extract_all(F.coalesce("c", F.lit("")), F.lit(r"def ([A-Za-z_0-9]+)"), F.lit(1))
+    return one.select("task_id", rules.change_triage(F.col("paths"), F.size(names), F.size(F.filter(names, lambda n: ~F.startswith(n, F.lit("_"))))).alias("triage"))
+
+
+def merge_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Records as changes, by how they came in."""
+    v = v1_records(spark, d).where("source_commit is not null")
+    k = F.pmod("ingest_seq", F.lit(6))
+    c, other = F.concat(F.col("source_commit"), F.lit("00")), F.lit("ffffffffff")
+    kind = rules.merge_kind(k > 0, F.when(k == 1, c).otherwise(other), F.when(k == 2, c).otherwise(other), c, k == 3, F.when(k == 4, F.lit("Fix #77")).otherwise(F.lit("Fix")), F.lit("77"))
+    return v.groupBy(kind.alias("merged_by")).agg(F.count("*").alias("n"))
+
+
+def context_leakage(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a task's transition gives its target away."""
+    t = table(spark, d, "task_environments").where("task_id is not null").select("task_id", "target_symbol", "required_patterns", F.array_join(F.map_values("workspace_transition"), "\n").alias("c"))
+    one = t.groupBy("task_id").agg(F.max(F.struct("target_symbol", "required_patterns", "c")).alias("t")).select("task_id", "t.*")
+    return one.select("task_id", rules.context_leakage(F.col("c"), F.col("target_symbol"), F.col("required_patterns")).alias("leakage"))
+
+
+def provenance(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose statement still has the digest taken of it, and whose artifact and time are known."""
+    v = v1_records(spark, d)
+    stamp = F.when(F.pmod("ingest_seq", F.lit(5)) == 0, F.lit("")).when(F.pmod("ingest_seq", F.lit(5)) == 1, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("statement", 256))
+    return v.select("memory_id", rules.provenance([(F.col("statement"), stamp)], [F.col("artifact_uri") != "", F.col("valid_from").isNotNull()]).alias("provenance"))
+
+
+def symbol_states(spark: SparkSession, d: str) -> DataFrame:
+    """State of each function before and after a task's transition, counted."""
+    from chronomill.plans.matching import _tree
+
+    def side(s: str, missing: str) -> DataFrame:
+        files = _tree(spark, d, s).where("endswith(path, '.py')").withColumn("file_key", F.concat_ws("#", "task_id", "path"))
+        defs = code.symbol_definitions(files, "file_key", "content").where("kind in ('function', 'class', 'hook')")
+        return defs.groupBy("file_key", "qualified_name").agg(F.bool_or("deprecated").alias("d"), F.bool_or(F.col("kind") == "hook").alias("h"))
+
+    a, b = side("initial_workspace", "absent"), side("workspace_transition", "removed")
+    j = a.join(b.withColumnsRenamed({"d": "d2", "h": "h2"}), ["file_key", "qualified_name"], "full")
+    before = rules.symbol_state(F.col("d").isNotNull(), F.col("d"), F.col("h"))
+    after = rules.symbol_state(F.col("d2").isNotNull(), F.col("d2"), F.col("h2"), "removed")
+    return j.groupBy(before.alias("before"), after.alias("after")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     k: globals()[k]
     for k in (
         "hashes", "token_kinds", "symbol_names", "path_names", "normal_spaces", "fences", "json_fields", "version_claims", "future_terms", "excerpts", "diff_hunks",
         "best_hunks", "issue_numbers", "near_words", "roundings", "packed_headers", "value_scan", "failure_kinds", "change_kinds", "entailments", "attributions", "leakage_levels",
+        "support_grades", "later_knowledge", "change_triage", "merge_kinds", "context_leakage", "provenance", "symbol_states",
     )
 }
 
@@ -217,4 +283,24 @@ select case when ok then 'NONE' when contains(l, 'deprecationwarning') or contai
 t as (select * from x qualify row_number() over (partition by task_id order by target_symbol desc, context desc) = 1)
 select task_id, case when contains(coalesce(context, ''), 'def ' || target_symbol || '(') or regexp_matches(coalesce(context, ''), '(?i)migrat') then 'TRIVIALIZES_TASK' when contains(coalesce(context, ''), e'return True\\n\\n\\ndef') then 'NEAR_SOLUTION'
   when contains(coalesce(context, ''), split_part(target_symbol, '_', 1)) then 'HINTED' else 'NONTRIVIAL' end as level from t""",
+    "support_grades": f"""with {sql.DELIVERIES}, x as (select memory_id, [contains(st, '_'), coalesce(contains(st, lower(split_part(artifact_uri, '/', -1))), false), regexp_matches(st, '{rules.DIRECTIONS}'), coalesce(contains(st, lower(symbol)), false)] as c
+  from (select *, lower(coalesce(statement, '')) as st from d))
+select memory_id, case when c[1] and c[3] then 'ENTAILED' when c[1] or c[3] then 'PARTIAL' else 'NOT_ENTAILED' end as wording, case when not list_contains(c, false) then 'ENTAILED' when list_contains(c, true) then 'PARTIAL' else 'NOT_ENTAILED' end as support from x""",
+    "later_knowledge": f"""with {sql.DELIVERIES}, x as (select memory_id, lower(statement) as st, lower(statement || case ingest_seq % 4 when 0 then ' #' || ingest_seq when 1 then ' in favor of release_queue' else '' end) as said, ingest_seq::varchar as num, lower(coalesce(artifact_uri, '')) as known from d where statement is not null),
+y as (select memory_id, st, list_filter([case when contains(said, '#' || num) then 'number' end, case when contains(said, 'abcdef01') then 'commit' end,
+  case when len(list_filter([{", ".join(f"'{t}'" for t in rules.FUTURE_TERMS)}], lambda t: contains(said, t) and not contains(known, t))) > 0 then 'wording' end,
+  case when not contains(known, 'release_queue') and contains(' ' || regexp_replace(said, '[^\\p{{L}}\\p{{N}}_]', ' ', 'g') || ' ', ' release_queue ') then 'replacement' end], lambda h: h is not null) as hits from x)
+select memory_id, array_to_string(hits, ',') as leaks, case when contains(st, 'never') then 'CONTRADICTED' when contains(st, 'src/') and len(hits) = 0 then 'FACTUALLY_SUPPORTED' else 'INSUFFICIENT_EVIDENCE' end as factuality from y""",
+    "change_triage": r"""with x as (select task_id, list_sort(coalesce(map_keys(workspace_transition), [])) as paths, array_to_string(map_values(workspace_transition), e'\n') as c from task_environments where task_id is not null),
+t as (select * from x qualify row_number() over (partition by task_id order by paths desc, c desc nulls last) = 1), y as (select task_id, paths, list_filter(paths, lambda p: ends_with(p, '.py')) as py, regexp_extract_all(coalesce(c, ''), 'def ([A-Za-z_0-9]+)', 1) as names from t)
+select task_id, case when len(paths) = 0 then 'REJECT_EMPTY' when len(list_filter(paths, lambda p: not regexp_matches(p, '^docs?/|\.(?:md|rst|txt)$'))) = 0 then 'REJECT_DOCS_ONLY'
+  when len(py) > 0 and len(list_filter(py, lambda p: not regexp_matches(p, '^(?:test|tests|testing)/'))) = 0 then 'REJECT_TEST_ONLY' when len(py) = 0 then 'REJECT_NON_PYTHON' when len(names) = 0 then 'REJECT_FORMAT_ONLY'
+  when len(list_filter(names, lambda n: not starts_with(n, '_'))) > 0 then 'HIGH_CONFIDENCE' else 'NOISE' end as triage from y""".replace("\\", "\\"),
+    "merge_kinds": f"with {sql.DELIVERIES} select case ingest_seq % 6 when 1 then 'merge_commit' when 2 then 'fast_forward' when 3 then 'rebase_ancestor' when 4 then 'squash_merge' else 'unknown' end as merged_by, count(*) as n from d where source_commit is not null group by 1",
+    "context_leakage": r"""with x as (select task_id, target_symbol, required_patterns, array_to_string(map_values(workspace_transition), e'\n') as c from task_environments where task_id is not null),
+t as (select * from x qualify row_number() over (partition by task_id order by target_symbol desc nulls last, required_patterns desc nulls last, c desc nulls last) = 1)
+select task_id, case when list_contains(regexp_extract_all(coalesce(c, ''), '(?:def|class)\s+([A-Za-z_][A-Za-z0-9_]*)\s*[:(]', 1), split_part(target_symbol, '.', -1)) then 'TRIVIALIZES_TASK'
+  when len(list_filter(required_patterns, lambda r: length(trim(r)) >= 3 and list_contains(regexp_extract_all(lower(coalesce(c, '')), '[\p{L}\p{N}_]+'), lower(trim(r))))) > 0
+    or regexp_matches(coalesce(c, ''), '(?im)^[ \t]*(?:#|\*|\"\"\").*(?:use .* instead of|deprecated.*use|replaced by|migrate from|in favor of)') then 'HINTED' else 'NONTRIVIAL' end as leakage from t""".replace("\\", "\\"),
+    "provenance": f"with {sql.DELIVERIES} select memory_id, case when ingest_seq % 5 > 1 and statement is not null and coalesce(artifact_uri, '') <> '' and valid_from is not null then 'VERIFIED' else 'FAILED' end as provenance from d",
 }
