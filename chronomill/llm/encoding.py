@@ -117,17 +117,23 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.string())], ["key", "text"])
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    values = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def _encoded(directory: str, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(directory, name).encode_ordinary, set()
+        own, seen = encoder(directory, name), set()
         for b in batches:
             keys, ids = [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    ids.append(encode(text))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
+                    ids.append(own.encode_to_numpy(text, disallowed_special=()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists(ids)], ["key", "ids"])
 
     return run
 
@@ -169,16 +175,32 @@ def joined(parts: list[tuple[bool, list[int]]], encode: Callable[[str], list[int
     return out
 
 
+def _assembled(parts: pa.ListArray, encode: Callable[[str], list[int]], table: list[bytes]) -> pa.ListArray:
+    """Ids of each document from its unordered parts; only documents with an uncertain join are looked into."""
+    row = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
+    flat = parts.flatten()
+    pos, certain = flat.field("pos").to_numpy(), flat.field("certain").to_numpy(zero_copy_only=False)
+    order = np.lexsort((pos, row))
+    again = np.append(False, (row[order][1:] == row[order][:-1]) & (pos[order][1:] == pos[order][:-1]))
+    order = order[~again]
+    row, certain = row[order], certain[order]
+    chunks_ = flat.field("ids").take(pa.array(order))
+    size = np.where(chunks_.is_null().to_numpy(zero_copy_only=False), 0, np.diff(chunks_.offsets.to_numpy()))
+    values = chunks_.flatten().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(size)])
+    first = np.searchsorted(row, np.arange(len(parts) + 1))
+    out = [values[ends[a] : ends[b]] for a, b in zip(first, first[1:], strict=False)]
+    for k in np.unique(row[~certain]):
+        own = range(first[k], first[k + 1])
+        out[k] = np.array(joined([(bool(certain[i]), values[ends[i] : ends[i + 1]].tolist()) for i in own], encode, table), np.int32)
+    return _lists(out)
+
+
 def _documents(directory: str, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, table = encoder(directory, name).encode_ordinary, token_bytes(directory, name)
         for b in batches:
-            ids = []
-            for parts in b.column(1).to_pylist():
-                by_pos = {p["pos"]: p for p in parts if p["ids"] is not None}
-                own = [(by_pos[k]["certain"], by_pos[k]["ids"]) for k in sorted(by_pos)]
-                ids.append(joined(own, encode, table))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _assembled(b.column(1), encode, table)], ["doc_id", "ids"])
 
     return run
 
