@@ -20,10 +20,9 @@ line ends of any kind count as one.
 from __future__ import annotations
 
 import ast
-import io
-import tokenize
+import functools
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -56,23 +55,30 @@ def _unix(text: str) -> str:
     return text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
 
 
-def _py_comments(text: str) -> dict[int, str]:
-    """Line number to comment, for lines that hold nothing else."""
-    out: dict[int, str] = {}
-    try:
-        for t in tokenize.generate_tokens(io.StringIO(text).readline):
-            if t.type == tokenize.COMMENT and not t.line[: t.start[1]].strip():
-                out[t.start[0]] = t.string.lstrip("#")
-    except (tokenize.TokenError, SyntaxError):
-        pass
-    return out
+def _strings(tree: ast.AST) -> list[tuple[int, int]]:
+    """Spans of lines that begin inside a string."""
+    nodes = (n for n in ast.walk(tree) if isinstance(n, (ast.Constant, ast.JoinedStr)) and n.end_lineno > n.lineno)
+    return [(n.lineno + 1, n.end_lineno) for n in nodes if isinstance(n, ast.JoinedStr) or isinstance(n.value, (str, bytes))]
 
 
-def _above(comments: dict[int, str], line: int) -> str | None:
+def _above(lines: list[str], line: int, strings: Callable[[], list[tuple[int, int]]]) -> str | None:
+    """The comment whose last line is right above a line; lines within strings are none."""
     first = line
-    while first - 1 in comments:
+    while first > 1 and lines[first - 2].lstrip().startswith("#"):
         first -= 1
-    return "\n".join(comments[i] for i in range(first, line)) if first < line else None
+    if first == line:
+        return None
+    inside = [end for begin, end in strings() if begin <= line - 1 and end >= first]
+    first = max([first, *(end + 1 for end in inside)])
+    return "\n".join(x.lstrip().lstrip("#") for x in lines[first - 1 : line - 1]) if first < line else None
+
+
+def _statements(node: ast.AST) -> Iterator[ast.AST]:
+    """Statements right inside a node, where definitions can stand."""
+    for part in ("body", "orelse", "finalbody", "handlers", "cases"):
+        found = getattr(node, part, None)
+        if isinstance(found, list):
+            yield from found
 
 
 def _py_signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
@@ -84,7 +90,7 @@ def _py_signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
 
 
 def _is_stub(node: ast.FunctionDef | ast.AsyncFunctionDef) -> bool:
-    if any(ast.unparse(d).rpartition(".")[2] == "overload" for d in node.decorator_list):
+    if any((d.attr if isinstance(d, ast.Attribute) else getattr(d, "id", "")) == "overload" for d in node.decorator_list):
         return True
     return all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) for s in node.body)
 
@@ -97,12 +103,13 @@ def python_symbols(text: str) -> list[Symbol]:
             tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
-    comments, lines = _py_comments(text), text.split("\n")
+    lines = text.split("\n")
+    strings = functools.lru_cache(lambda: _strings(tree))
     out: list[Symbol] = []
     todo: list[tuple[ast.AST, str]] = [(tree, "")]
     while todo:
         node, inside = todo.pop()
-        for kid in ast.iter_child_nodes(node):
+        for kid in _statements(node):
             if not isinstance(kid, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 todo.append((kid, inside))
                 continue
@@ -111,7 +118,7 @@ def python_symbols(text: str) -> list[Symbol]:
             if not isinstance(kid, ast.ClassDef):
                 top = min([kid.lineno, *(d.lineno for d in kid.decorator_list)])
                 doc = ast.get_docstring(kid)
-                doc = _above(comments, top) if doc is None else doc
+                doc = _above(lines, top, strings) if doc is None else doc
                 code = "\n".join(lines[top - 1 : kid.end_lineno])
                 out.append(Symbol(name, _py_signature(kid), _is_stub(kid), doc, code))
     return out
