@@ -21,7 +21,6 @@ documents each come out; repeated items are items of their own; long texts are s
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -36,6 +35,7 @@ from chronomill.llm.words import words
 WINDOW = 12
 TEMPLATE_ITEMS = 3
 LEAST_FIXED = 3
+MOST_TEMPLATE_WORDS = 50_000
 BLOCK_CHARS = 8_000_000
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 # Words that measure.
@@ -177,12 +177,19 @@ def search(texts: list[str | None], index: Index, verbatim_only: bool, numbers:
     return out
 
 
-def template_words(items: DataFrame, item_id: str, text: str, template_items: int) -> frozenset:
-    """Words that at least ``template_items`` items use: the vocabulary of the templates, bounded by the blocks."""
-    uses: Counter = Counter()
-    for r in items.select(text).toLocalIterator():
-        uses.update(set(words(r[0])))
-    return frozenset(w for w, n in uses.items() if n >= template_items)
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([w for t in b.column(0).to_pylist() for w in set(words(t))], pa.string())], ["w"])
+
+
+def template_words(items: DataFrame, text: str, template_items: int = TEMPLATE_ITEMS, most: int = MOST_TEMPLATE_WORDS) -> frozenset:
+    """Words that at least ``template_items`` items use: the vocabulary of the templates.
+
+    Only the ``most`` commonest come to the driver. Any set of words gives the same verbatim leaks, as both
+    sides are canonicalised alike; it only decides what counts as a name.
+    """
+    uses = items.select(text).mapInArrow(_item_words, "w string").groupBy("w").count()
+    return frozenset(r[0] for r in uses.where(F.col("count") >= template_items).orderBy(F.desc("count"), "w").limit(most).collect())
 
 
 def _blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple]]:
@@ -215,7 +222,7 @@ def leaks(
     spark: SparkSession = docs.sparkSession
     types = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"doc_id {types[0]}, item_id {types[1]}, n_verbatim int, n_templated int"
-    template = template_words(items, item_id, item_text, template_items)
+    template = template_words(items, item_text, template_items)
 
     def run_with(sent) -> object:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
