@@ -175,10 +175,7 @@ _VERSIONS = "with" + _COUNTING.format(sup=_key("supersedes"), st="lower(trim(sta
     or lag(sup) over o is distinct from sup or lag(st) over o is distinct from st
 ), v as (select *, created_at as version_from, coalesce(lead(created_at) over (partition by id order by created_at), 999999999) as version_to from c)"""
 
-ORACLES = {
-    "orphans_incremental": ORPHANS_SQL + _FOUND,
-    "p3_history": _VERSIONS + " select id, version_from, version_to, valid_from, vt as valid_to, sup as supersedes, st as status from v",
-    "p5_found": f"""
+_WALKS = f"""
 with recursive ids as (select distinct memory_id as id from memory_records_v1 where memory_id <> ''),
 e as (
   select distinct link, child, parent from (
@@ -190,10 +187,16 @@ cyc as (select a.link, a.child as id, min(a.parent) as least from reach a join r
 walk as (
   select e.link, e.child, e.parent as at, 1::bigint as depth from e where (e.link, e.child) not in (select (link, id) from cyc)
   union select w.link, w.child, e.parent, w.depth + 1 from walk w join e on e.link = w.link and e.child = w.at where (w.link, w.at) not in (select (link, id) from cyc)
-)
+)"""
+
+ORACLES = {
+    "orphans_incremental": ORPHANS_SQL + _FOUND,
+    "p3_history": _VERSIONS + " select id, version_from, version_to, valid_from, vt as valid_to, sup as supersedes, st as status from v",
+    "p5_found": _WALKS + """
 select link, id as memory_id, least as root_id, -1::bigint as depth from cyc
 union select w.link, w.child, c.least, -1 from walk w join cyc c on c.link = w.link and c.id = w.at
 union select w.link, w.child, w.at, w.depth from walk w where (w.link, w.at) not in (select (link, id) from cyc) and (w.link, w.at) not in (select (link, child) from e)""",
+    "p5_descendants": _WALKS + " select distinct link, walk.at as memory_id, child as descendant_id from walk",
     "p6_attributes": f"""
 with e as (select distinct event_id, task_id, as_of, {_key('record_id')} as rid from episode_events),
 w as (select * from memory_records qualify row_number() over (partition by id, created_at order by ingest_seq desc) = 1)

@@ -303,4 +303,13 @@ select task_id, case when list_contains(regexp_extract_all(coalesce(c, ''), '(?:
   when len(list_filter(required_patterns, lambda r: length(trim(r)) >= 3 and list_contains(regexp_extract_all(lower(coalesce(c, '')), '[\p{L}\p{N}_]+'), lower(trim(r))))) > 0
     or regexp_matches(coalesce(c, ''), '(?im)^[ \t]*(?:#|\*|\"\"\").*(?:use .* instead of|deprecated.*use|replaced by|migrate from|in favor of)') then 'HINTED' else 'NONTRIVIAL' end as leakage from t""".replace("\\", "\\"),
     "provenance": f"with {sql.DELIVERIES} select memory_id, case when ingest_seq % 5 > 1 and statement is not null and coalesce(artifact_uri, '') <> '' and valid_from is not null then 'VERIFIED' else 'FAILED' end as provenance from d",
+    "entailments": f"""with {sql.DELIVERIES}, x as (select memory_id, lower(statement) as st, lower(concat_ws(' ', evidence_ref, case when ingest_seq % 2 = 0 then symbol end, 'use')) as ev, lower(regexp_extract(statement, '([a-z]+_[a-z0-9_]+)', 1)) as short,
+  list_filter([split_part(lower(split_part(symbol, '.', -1)), '(', 1)], lambda r: length(r) > 2) as names from d),
+y as (select *, coalesce(contains(st, coalesce(short, '')) or len(list_filter(names, lambda r: contains(st, r))) > 0, false) as a, coalesce(contains(ev, coalesce(short, '')) or len(list_filter(names, lambda r: contains(ev, r))) > 0, false) as b from x)
+select memory_id, case when coalesce(st, '') = '' or coalesce(ev, '') = '' then 'NOT_ENTAILED' when a and b and regexp_matches(st, '{"|".join(rules.ACTIONS)}') then 'ENTAILED' when a or b then 'PARTIAL' else 'NOT_ENTAILED' end as entailment from y""",
+    "attributions": f"""with {sql.DELIVERIES}, x as (select memory_id, trim(coalesce(case when ingest_seq % 5 > 0 then source_commit end, '')) as c, coalesce(case when ingest_seq % 7 > 0 then source_commit else 'fffffff' end, '') as t, artifact_uri as p,
+  case when ingest_seq % 3 > 0 then artifact_uri else 'x/none.py' end as q, lower({_NORMAL("symbol")}) as na, lower({_NORMAL("coalesce(symbol_qualified_name, 'other')")}) as nb, lower(statement) as st from d where artifact_uri is not null and statement is not null),
+y as (select *, split_part(na, '.', -1) as sa, split_part(nb, '.', -1) as sb from x)
+select memory_id, case when c = '' then 'MISSING_COMMIT_ATTRIBUTION' when t <> '' and not starts_with(t, c) then 'WRONG_COMMIT' when not (split_part(p, '/', -1) = split_part(q, '/', -1) or ends_with(p, q) or ends_with(q, p)) then 'WRONG_ARTIFACT'
+  when not (na <> '' and nb <> '' and (na = nb or sa = sb or (sa <> '' and sb <> '' and contains(st, sa) and contains(st, sb)))) then 'UNSUPPORTED' when regexp_matches(st, '{rules.DIRECTIONS}') then 'SUPPORTED' else 'PARTIAL' end as attribution from y""",
 }
