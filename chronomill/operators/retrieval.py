@@ -124,9 +124,10 @@ def retrieve_legacy(
     cap, size = budget * 4, F.coalesce(F.length("statement"), F.lit(0))
     head = c.where(size > 0).orderBy(F.desc("_key")).limit(cap + 1).select("_key", size.alias("_n"))
     spent = head.withColumn("_sum", F.sum("_n").over(Window.orderBy(F.desc("_key")).rowsBetween(Window.unboundedPreceding, 0)))
-    over = spent.where(F.col("_sum") > cap).agg(F.max("_key").alias("_stop"))
-    kept = c.join(F.broadcast(over)).where("_stop is null or _key > _stop")  # one row
-    return kept.drop("_key", "_stop")
+    stop = spent.where(F.col("_sum") > cap).agg(F.max("_key").alias("k")).first()["k"]
+    if stop is None:
+        return c.drop("_key")
+    return c.where(F.col("_key") > F.struct(*[F.lit(stop[f]).alias(f) for f in ("score", "created_at", "id")])).drop("_key")
 
 
 def chunks(files: DataFrame, lines: int = 40) -> DataFrame:

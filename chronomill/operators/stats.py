@@ -83,10 +83,11 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("_n"))
     both = pairs.select(F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col(a).alias("l")), F.struct(F.lit("b").alias("s"), F.col(b).alias("l")))).alias("x"), "_n")
     margins = both.groupBy("x.l").agg(F.sum(F.when(F.col("x.s") == "a", F.col("_n")).otherwise(0)).alias("_a"), F.sum(F.when(F.col("x.s") == "b", F.col("_n")).otherwise(0)).alias("_b"))
-    chance = margins.agg(F.sum(F.col("_a").cast("double") * F.col("_b")).alias("_ab"))
-    seen = pairs.agg(F.sum("_n").alias("n"), F.sum(F.when(F.col(a) == F.col(b), F.col("_n")).otherwise(0)).alias("_same"))
+    zero = F.lit(0).cast("bigint")
+    chance = margins.select(zero.alias("n"), zero.alias("_same"), (F.col("_a").cast("double") * F.col("_b")).alias("_ab"))
+    seen = pairs.select(F.col("_n").alias("n"), F.when(F.col(a) == F.col(b), F.col("_n")).otherwise(zero).alias("_same"), F.lit(0.0).alias("_ab"))
     po, pe = F.col("_same") / F.col("n"), F.col("_ab") / (F.col("n").cast("double") * F.col("n"))
-    return seen.join(F.broadcast(chance)).select(  # one row each
+    return seen.unionByName(chance).agg(*[F.sum(c).alias(c) for c in ("n", "_same", "_ab")]).select(
         F.coalesce("n", F.lit(0)).alias("n"),
         F.round(F.coalesce(po, F.lit(0.0)), 6).alias("agreement"),
         F.round(F.when(pe >= 1.0, 1.0).otherwise(F.coalesce((po - pe) / (1.0 - pe), F.lit(0.0))), 6).alias("kappa"),
@@ -128,9 +129,9 @@ def pooled_ratio(c: str | Column) -> tuple[Column, Column, Column]:
 
 def distribution(df: DataFrame, label: str) -> DataFrame:
     """Count and share of each value, largest first."""
+    total = df.count()
     g = df.groupBy(label).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return g.withColumn("pct", F.round(100 * F.col("n") / total, 2)).orderBy(F.desc("n"), F.asc_nulls_first(label))
+    return g.withColumn("pct", F.round(100 * F.col("n") / F.lit(total), 2)).orderBy(F.desc("n"), F.asc_nulls_first(label))
 
 
 def capped(df: DataFrame, by: list[str], order: list[Column], cap: int) -> DataFrame:

@@ -123,9 +123,9 @@ def kill_rate(spark: SparkSession, d: str) -> DataFrame:
 def condition_pivot(spark: SparkSession, d: str) -> DataFrame:
     """Success rate per task and condition side by side, the lift of one over another, and the best of all."""
     e = events(spark, d).where("task_id is not null")
-    p = e.groupBy("task_id").pivot("method", ["full", "bm25", "no_validity"]).agg(F.round(F.avg(F.col("passed").cast("int")), 2))
+    p = e.groupBy("task_id").pivot("method", ["full", "bm25", "no_validity"]).agg(F.round(F.avg(F.col("passed").cast("int")), 6))
     return p.select("task_id", F.col("full").alias("tsr_full"), F.col("bm25").alias("tsr_bm25"), F.col("no_validity").alias("tsr_no_validity")).withColumns(
-        {"lift": F.round(F.col("tsr_full") - F.col("tsr_bm25"), 2), "degradation": F.round(F.col("tsr_full") - F.col("tsr_no_validity"), 2), "best": F.greatest("tsr_full", "tsr_bm25", "tsr_no_validity")}
+        {"lift": F.round(F.col("tsr_full") - F.col("tsr_bm25"), 6), "degradation": F.round(F.col("tsr_full") - F.col("tsr_no_validity"), 6), "best": F.greatest("tsr_full", "tsr_bm25", "tsr_no_validity")}
     )
 
 
@@ -195,9 +195,9 @@ def claim_matching(spark: SparkSession, d: str) -> DataFrame:
 
 def claim_quality(spark: SparkSession, d: str) -> DataFrame:
     v = v1_records(spark, d).where("artifact_uri <> '' and observed_at is not null")
-    m = claim_matching(spark, d).agg(F.count("*").alias("matched"))
-    n = v.agg(F.count_if(F.pmod("ingest_seq", F.lit(2)) == 0).alias("required"), F.count_if(F.pmod("ingest_seq", F.lit(2)) == 1).alias("claims"))
-    row = m.join(F.broadcast(n)).select("matched", F.lit(0).cast("bigint").alias("matched_optional"), "required", F.lit(0).cast("bigint").alias("optional"), "claims")
+    zero, even = F.lit(0).cast("bigint"), (F.pmod("ingest_seq", F.lit(2)) == 0).cast("bigint")
+    claims = v.select(zero.alias("matched"), zero.alias("matched_optional"), even.alias("required"), zero.alias("optional"), (1 - even).alias("claims"))
+    row = claims.unionByName(claim_matching(spark, d).select(F.lit(1).cast("bigint").alias("matched"), *[zero.alias(c) for c in claims.columns[1:]]))
     return stats.pooled(row, "matched", "matched_optional", "required", "optional", "claims")
 
 
@@ -268,8 +268,8 @@ select method, sum(split_part(x, '/', 1)::bigint)::bigint as n_passed, sum(split
     + f""", g as (select task_id, count(*) filter (is_stale) as n_invalid, count(*) filter (is_stale and not passed) as n_killed from e where task_id is not null group by 1)
 select *, {_R('n_killed', 'n_invalid')} as kill_rate, coalesce(n_killed::double / nullif(n_invalid, 0), 0) >= 0.8 as strong from g""",
     "condition_pivot": _E
-    + """, p as (select task_id, round(avg(passed::int) filter (method = 'full'), 2) as a, round(avg(passed::int) filter (method = 'bm25'), 2) as b, round(avg(passed::int) filter (method = 'no_validity'), 2) as c from e where task_id is not null group by 1)
-select task_id, a as tsr_full, b as tsr_bm25, c as tsr_no_validity, round(a - b, 2) as lift, round(a - c, 2) as degradation, greatest(a, b, c) as best from p""",
+    + """, p as (select task_id, round(avg(passed::int) filter (method = 'full'), 6) as a, round(avg(passed::int) filter (method = 'bm25'), 6) as b, round(avg(passed::int) filter (method = 'no_validity'), 6) as c from e where task_id is not null group by 1)
+select task_id, a as tsr_full, b as tsr_bm25, c as tsr_no_validity, round(a - b, 6) as lift, round(a - c, 6) as degradation, greatest(a, b, c) as best from p""",
     "distinct_counts": _E + " select count(distinct task_id) as n_tasks, count(distinct record_id) as n_records, count(distinct (family, method)) filter (family is not null and method is not null) as n_pairs from e",
     "extraction_quality": f"""with t as (select task_id as task_scope, min(description) as d from task_environments group by 1),
 r as (select * from memory_records qualify row_number() over (partition by id order by ingest_seq) = 1),
