@@ -1,8 +1,8 @@
 """Records hidden behind formatting: Merkle digests of normalised, partly unordered structures.
 
 A statement is read bottom-up. Its leaves are word sequences without case (a word is a maximal run of
-letters or digits). A statement made only of two or more name-value fields, in JSON or in any notation with
-``:`` or ``=``, is an unordered node: the digests of its fields are sorted before they are hashed. JSON
+letters or digits). A statement made only of name-value fields, as JSON or, two or more of them, in any notation
+with ``:`` or ``=``, is an unordered node: the digests of its fields are sorted before they are hashed. JSON
 objects are unordered nodes at any depth, arrays ordered ones. Every other statement is one leaf.
 
 Records are grouped by root digest, and group keys also hold the full canonical form, so equal digests of
@@ -74,7 +74,7 @@ def fields(text: str) -> _Fields | None:
                 got = json.loads(_SPACE.sub(" ", inner), object_pairs_hook=_Fields, parse_float=str, parse_int=str, strict=False)
             except (ValueError, RecursionError):
                 got = None
-            if isinstance(got, _Fields) and len(got) >= _MIN_FIELDS:
+            if isinstance(got, _Fields) and got:
                 return got
     for cut_at in _CUTS:
         out = _Fields()
@@ -95,10 +95,13 @@ def merkle(text: str | None) -> tuple[bytes, str, bytes | None, str | None] | No
     if not text or not WORD.search(text):
         return None
     found = fields(text)
-    if found is None:
+    try:
+        root, form, ws = (None, None, None) if found is None else _node(found)
+    except RecursionError:  # nested beyond all reason: plain words
+        root = None
+    if root is None:
         digest, form, _ = _node(text)
         return digest, form, None, None
-    root, form, ws = _node(found)
     digest, said, _ = _node(" ".join(ws))
     return digest, said, root, form
 

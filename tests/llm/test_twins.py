@@ -82,3 +82,8 @@ def test_counts_rewrites_and_one_hot_text(spark):
 
 def test_empty(spark):
     assert groups(spark, []) == []
+
+
+def test_one_field_objects_and_endless_nesting(spark):
+    rows = [("t", "a", '{"note": "caf\\u00e9 is open"}'), ("t", "b", "note: CAFÉ is open"), ("t", "c", '{"a":' * 3000 + "1" + "}" * 3000), ("t", "d", '{"a": ' * 3000 + "1" + "}" * 3000)]
+    assert groups(spark, rows) == [("t", "a", "b"), ("t", "c", "d")]
