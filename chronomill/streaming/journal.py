@@ -33,21 +33,24 @@ class FoldedState:
     def __init__(self, spark: SparkSession, step: Callable[[dict[str, DataFrame] | None, DataFrame], dict[str, DataFrame]], folder: str | None = None) -> None:
         self.spark, self.step = spark, step
         self.folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-        self.version, self.names, self.schemas = -1, [], {}
+
+    def _listed(self, path: str) -> list[str]:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    @property
+    def version(self) -> int:
+        """The last version in the folder, -1 without any; a folder that is given again is taken up where it was."""
+        return max([int(n[1:]) for n in self._listed(self.folder) if n[:1] == "v" and n[1:].isdigit()], default=-1)
 
     def read(self, version: int | None = None) -> dict[str, DataFrame] | None:
         v = self.version if version is None else version
-        if v < 0:
-            return None
-        return {n: self.spark.read.schema(self.schemas[n]).parquet(f"{self.folder}/v{v}/{n}") for n in self.names}
+        return {n: self.spark.read.parquet(f"{self.folder}/v{v}/{n}") for n in self._listed(f"{self.folder}/v{v}")} if v >= 0 else None
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
         for name, df in self.step(self.read(batch_id - 1), batch).items():
             df.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}/{name}")
-            self.schemas[name] = df.schema
-            if name not in self.names:
-                self.names.append(name)
-        self.version = batch_id
 
     def run(self, stream: DataFrame) -> dict[str, DataFrame] | None:
         """Take in everything that is there now, and give the state."""
@@ -61,16 +64,16 @@ class FoldedState:
         return self.read()
 
 
-def store_state(spark: SparkSession) -> FoldedState:
+def store_state(spark: SparkSession, folder: str | None = None) -> FoldedState:
     """The legacy store from a stream of its writes."""
 
     def step(state: dict[str, DataFrame] | None, batch: DataFrame) -> dict[str, DataFrame]:
         return {"records": store.fold(state and state["records"], store.written(batch))}
 
-    return FoldedState(spark, step)
+    return FoldedState(spark, step, folder)
 
 
-def orphan_state(spark: SparkSession, refs_of: Callable[[DataFrame], DataFrame], parents_of: Callable[[DataFrame], DataFrame]) -> FoldedState:
+def orphan_state(spark: SparkSession, refs_of: Callable[[DataFrame], DataFrame], parents_of: Callable[[DataFrame], DataFrame], folder: str | None = None) -> FoldedState:
     """Pending orphans from a stream of rows that hold references and are themselves targets."""
 
     def step(state: dict[str, DataFrame] | None, batch: DataFrame) -> dict[str, DataFrame]:
@@ -78,7 +81,7 @@ def orphan_state(spark: SparkSession, refs_of: Callable[[DataFrame], DataFrame],
         new = references.advance(old, refs_of(batch), parents_of(batch))
         return {"parents": new.parents, "watched": new.watched}
 
-    return FoldedState(spark, step)
+    return FoldedState(spark, step, folder)
 
 
 def windowed(events: DataFrame, at: str, by: list[str], value: str, width: str = "1 day", late: str = "2 days") -> DataFrame:

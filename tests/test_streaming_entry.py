@@ -23,6 +23,12 @@ def test_store_stream_over_several_batches(spark, tmp_path):
     state = journal.store_state(spark)
     got = state.run(stream)["records"]
     assert state.version == 3 and {r.id: (r.valid_to, r.status) for r in got.collect()} == sequential(rows)
+    # More of the log arrives, and another process takes the folder up where it was.
+    more = [(200 + r[0], *r[1:]) for r in writes(9)[:40]]
+    spark.createDataFrame(more, W).coalesce(1).write.mode("append").json(str(tmp_path / "log"))
+    again = journal.store_state(spark, state.folder)
+    got = again.run(stream)["records"]
+    assert again.version == 4 and {r.id: (r.valid_to, r.status) for r in got.collect()} == sequential(rows + more)
 
 
 def test_orphan_stream_is_the_batch(spark, tmp_path):
