@@ -221,3 +221,16 @@ def provenance(parts: Sequence[tuple[Column, Column]], others: Sequence[Column])
     for o in others:
         ok = ok & F.coalesce(o, F.lit(False))
     return F.when(ok, "VERIFIED").otherwise("FAILED")
+
+
+def simulated_action(category: Column, method: Column, text: Column, kinds: Column, stale: dict[str, str], cancelled: str, warning: str, blind: Sequence[str]) -> tuple[Column, Column]:
+    """Whether a simulated agent acts on stale text, and whether it flags a conflict, without running anything.
+
+    ``stale`` has, per category, the text that marks stale knowledge. An explicit update is followed unless the
+    update's notice (``cancelled``) is missing or the method ignores validity; stale evidence is used only by the
+    ``blind`` methods; a conflict is flagged by a warning record or its wording.
+    """
+    seen = lambda c: (category == c) & F.contains(text, F.lit(stale[c])) if c in stale else F.lit(False)
+    used = seen("explicit_update") & (~F.contains(text, F.lit(cancelled)) | (method == "no_validity")) | seen("stale_evidence") & method.isin(*blind)
+    flagged = (category == "unresolved_conflict") & (F.array_contains(kinds, "conflict_warning") | F.contains(text, F.lit(warning)))
+    return F.coalesce(used, F.lit(False)), F.coalesce(flagged, F.lit(False))

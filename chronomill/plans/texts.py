@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronomill.common import table
 from chronomill.functions import code
 from chronomill.functions import text as tx
-from chronomill.operators import rules
+from chronomill.operators import rules, stats
 from chronomill.plans import sql
 from chronomill.plans.store import v1_records
 from chronomill.sources import readers
@@ -231,12 +231,33 @@ def symbol_states(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(before.alias("before"), after.alias("after")).agg(F.count("*").alias("n"))
 
 
+def simulated_actions(spark: SparkSession, d: str) -> DataFrame:
+    """What a simulated agent does with the record each event retrieved, per method and category."""
+    e = table(spark, d, "episode_events").dropDuplicates(["event_id"]).select("event_id", "category", "method", F.col("record_id").alias("id"))
+    r = table(spark, d, "memory_records").groupBy("id").agg(F.min_by(F.struct("statement", "type"), "ingest_seq").alias("r")).select("id", "r.*")
+    text, kinds = F.coalesce("statement", F.lit("")), F.array("type")
+    used, flagged = rules.simulated_action(
+        F.col("category"), F.col("method"), text, kinds, {"explicit_update": "release", "stale_evidence": "lock"}, "removed", "already held", ("no_validity", "recent", "bm25")
+    )
+    return e.join(r, "id").groupBy("method", "category").agg(F.count("*").alias("n"), F.count_if(used).alias("n_stale"), F.count_if(flagged).alias("n_flagged"))
+
+
+def attribution_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by attribution, the share supported and the share without support."""
+    a = attributions(spark, d)
+    names = ("SUPPORTED", "PARTIAL", "UNSUPPORTED", "WRONG_ARTIFACT", "WRONG_COMMIT", "MISSING_COMMIT_ATTRIBUTION")
+    g = a.agg(F.count("*").alias("n_claims"), *[F.count_if(F.col("attribution") == n).alias(n.lower()) for n in names])
+    bad = F.col("unsupported") + F.col("wrong_artifact") + F.col("wrong_commit") + F.col("missing_commit_attribution")
+    return g.withColumns({"supported_rate": F.round(stats.ratio(F.col("supported"), F.col("n_claims")), 6), "unsupported_rate": F.round(stats.ratio(bad, F.col("n_claims")), 6)})
+
+
 QUERIES = {
     k: globals()[k]
     for k in (
         "hashes", "token_kinds", "symbol_names", "path_names", "normal_spaces", "fences", "json_fields", "version_claims", "future_terms", "excerpts", "diff_hunks",
         "best_hunks", "issue_numbers", "near_words", "roundings", "packed_headers", "value_scan", "failure_kinds", "change_kinds", "entailments", "attributions", "leakage_levels",
         "support_grades", "later_knowledge", "change_triage", "merge_kinds", "context_leakage", "provenance", "symbol_states",
+        "simulated_actions", "attribution_rates",
     )
 }
 
@@ -313,3 +334,16 @@ y as (select *, split_part(na, '.', -1) as sa, split_part(nb, '.', -1) as sb fro
 select memory_id, case when c = '' then 'MISSING_COMMIT_ATTRIBUTION' when t <> '' and not starts_with(t, c) then 'WRONG_COMMIT' when not (split_part(p, '/', -1) = split_part(q, '/', -1) or ends_with(p, q) or ends_with(q, p)) then 'WRONG_ARTIFACT'
   when not (na <> '' and nb <> '' and (na = nb or sa = sb or (sa <> '' and sb <> '' and contains(st, sa) and contains(st, sb)))) then 'UNSUPPORTED' when regexp_matches(st, '{rules.DIRECTIONS}') then 'SUPPORTED' else 'PARTIAL' end as attribution from y""",
 }
+
+_NAMES = ("supported", "partial", "unsupported", "wrong_artifact", "wrong_commit", "missing_commit_attribution")
+
+ORACLES["simulated_actions"] = """
+with e as (select distinct event_id, category, method, record_id as id from episode_events),
+r as (select id, coalesce(statement, '') as t, type from memory_records qualify row_number() over (partition by id order by ingest_seq) = 1)
+select method, category, count(*) as n,
+  count(*) filter ((category = 'explicit_update' and contains(t, 'release') and (not contains(t, 'removed') or method = 'no_validity')) or (category = 'stale_evidence' and contains(t, 'lock') and method in ('no_validity', 'recent', 'bm25'))) as n_stale,
+  count(*) filter (category = 'unresolved_conflict' and (type = 'conflict_warning' or contains(t, 'already held'))) as n_flagged
+from e join r using (id) group by all"""
+ORACLES["attribution_rates"] = f"""
+with a as ({ORACLES["attributions"]}), g as (select count(*) as n_claims, {", ".join(f"count(*) filter (attribution = upper('{n}')) as {n}" for n in _NAMES)} from a)
+select *, round(supported::double / n_claims, 6) as supported_rate, round((unsupported + wrong_artifact + wrong_commit + missing_commit_attribution)::double / n_claims, 6) as unsupported_rate from g"""
