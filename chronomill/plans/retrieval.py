@@ -213,4 +213,6 @@ f as (select *, greatest(1, floor((41 + sum(length(line) + 1) over (partition by
 select budget, rank, memory_id, md5(line) as line_md5, false as truncated from f where fits""",
     "token_counts": f"""select doc_id, case when coalesce(text, '') = '' then 0 else greatest(1, floor(length(text) / 4)) end::bigint as n_estimated,
   {_simple("text")} as n_simple, md5(regexp_extract(text, '^(?:{sql.SPACE}*(?:{sql.WORD}+|{sql.MARK})){{0,50}}', 0)) as first_md5 from documents""",
+    "memory_block": f"""with q as ({_v1_sql(_VALID, _BONUS, 5)}), r as (select * from memory_records_v1 qualify row_number() over (partition by memory_id order by ingest_seq) = 1)
+select '[MEMORY]' || e'\\n' || string_agg('- ' || r.statement, e'\\n' order by q.rank) as block from q join r on r.memory_id = q.memory_id""",
 }
