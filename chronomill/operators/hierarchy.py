@@ -99,8 +99,15 @@ def _contract(key: tuple, t: pa.Table, last: bool, paths: bool) -> pa.Table:
             if last:
                 inside = {names[v] for v in group}
                 low = min([*inside, *(least[r] for v in group for r in rows[v] if kind[r] == EXIT and anc[r] in inside)])
+                # Contracted ways between members are on the cycle too, and what is above one member is above all.
+                near = set(inside) if paths else set()
+                for r in (r for v in group for r in rows[v] if paths):
+                    near.update(via[r], [anc[r]])
+                    if anc[r] in own and anc[r] not in inside:
+                        for (a, _, k), (_, _, all2) in result[own[anc[r]]].items():
+                            near.update(all2, [a] if k == ROOT else [])
                 for v in group:
-                    put(result[v], (low, -1, CYCLE), low, (names[v],), frozenset())
+                    put(result[v], (low, -1, CYCLE), low, (names[v],), frozenset(near))
             else:
                 for v in group:
                     for r in rows[v]:
@@ -120,7 +127,7 @@ def _contract(key: tuple, t: pa.Table, last: bool, paths: bool) -> pa.Table:
                 for (a, d, k), (low, way2, all2) in result[own[anc[r]]].items():
                     put(result[v], (a, -1 if k == CYCLE else d + dist[r], k), min(low, least[r]), way + way2, all_ | step | all2)
     out = [
-        (link, names[v], block[names[v]], a, block[a] if k == EXIT else None, d, k, low, list(way), sorted(all_))
+        (link, names[v], block[names[v]], a, block[a] if k == EXIT else None, d, k, low, list(way), sorted(all_ - {names[v]}))
         for v in range(len(names))
         for (a, d, k), (low, way, all_) in result[v].items()
     ]
@@ -161,7 +168,7 @@ def _joined(rows: DataFrame, solved: DataFrame) -> DataFrame:
         F.coalesce("_kind", F.lit(ROOT)).alias("kind"),
         F.least("least", "_least").alias("least"),
         F.concat("path", F.coalesce("_path", no)).alias("path"),
-        F.when(some, F.array_union("via", F.array_union(F.array("anc"), "_via"))).otherwise(F.col("via")).alias("via"),
+        F.when(some, F.array_except(F.array_union("via", F.array_union(F.array("anc"), "_via")), F.array("node"))).otherwise(F.col("via")).alias("via"),
     )
 
 
@@ -225,7 +232,7 @@ def walks(
 
     ``links`` maps a link's name to the column with the parent key or keys. kind is 1 for a root, 2 for a
     cycle. With ``paths``, path runs from the record up to the one below the end (the least such path), and
-    via has all records on any of the ways.
+    via has all records on any of the ways; for a walk into a cycle also all others on the cycle and above it.
     """
     keys = {
         k: F.array_distinct(F.transform(c, norm_key)) if df.schema[c].dataType.typeName() == "array" else F.array(norm_key(c))

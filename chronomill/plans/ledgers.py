@@ -78,7 +78,7 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Each record with every record below it; walks end at a cycle, whose members list nothing through it."""
+    """Each record with every other record below it, also through cycles: members of a cycle list each other."""
     ends = F.when(F.col("kind") == hierarchy.ROOT, F.array_union("via", F.array("anc"))).otherwise(F.col("via"))
     return (
         _links(spark, d, True)

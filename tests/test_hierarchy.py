@@ -5,6 +5,7 @@ import random
 import pytest
 
 from chronomill.operators import hierarchy as H
+from chronomill.plans import ledgers
 
 SCHEMA = "ingest_seq bigint, memory_id string, supersedes string, depends_on array<string>, link string, node string"
 
@@ -92,3 +93,33 @@ def test_hot_parent_and_empty(spark):
     rows = [(0, "hub", None, None, "", "")] + [(k, f"x{k}", "hub", ["hub", "hub"], "", "") for k in range(1, 300)]
     assert len(run(spark, rows, block_rows=16)) == 2 * 299
     assert run(spark, []) == []
+
+
+def closure(rows, link):
+    """(ancestor, descendant) of two different records, by following the links until nothing is new."""
+    ids, up = {r[1] for r in rows}, {}
+    for r in sorted(rows, key=lambda r: r[0]):
+        up.setdefault(r[1], {key(x) for x in ([r[2]] if link == "supersedes" else r[3] or [])} & ids)
+    found = set()
+    for m in up:
+        todo, seen = list(up[m]), set()
+        while todo:
+            a = todo.pop()
+            if a not in seen:
+                seen.add(a)
+                todo += up[a]
+        found |= {(link, a, m) for a in seen - {m}}
+    return found
+
+
+@pytest.mark.parametrize("seed,block", [(0, 1000), (1, 8), (2, 3), (3, 1), (4, 16)])
+def test_descendants_through_cycles(spark, tmp_path, monkeypatch, seed, block):
+    rows = graph(seed)
+    if seed == 4:
+        ring = {k: f"m{(k + 1) % 20:02d}" for k in range(20)}
+        rows = [(k, f"m{k:02d}", ring.get(k, f"m{k - 7:02d}"), [ring.get(k, "m03"), "m44" if k == 5 else ""], "", "") for k in range(44)] + [(44, "m44", "m45", ["m45"], "", ""), (45, "m45", "", ["m45"], "", "")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/memory_records_v1.parquet")
+    walks = H.walks
+    monkeypatch.setattr(H, "walks", lambda *a, **kw: walks(*a, block_rows=block, **kw))
+    got = [tuple(r) for r in ledgers.p5_descendants(spark, str(tmp_path)).select("link", "memory_id", "descendant_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == closure(rows, "depends_on") | closure(rows, "supersedes")
