@@ -123,9 +123,12 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def api_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Functions and classes that a transition removes, adds, changes or deprecates, per task and file."""
-    both = _tree(spark, d, "initial_workspace").alias("a").join(_tree(spark, d, "workspace_transition").alias("b"), ["task_id", "path"]).where("endswith(path, '.py')")
-    keyed = both.select(F.concat_ws("#", "task_id", "path").alias("file_key"), F.col("a.content").alias("before"), F.col("b.content").alias("after"))
+    """Functions and classes that a transition removes, adds, changes or deprecates, per task and file; a missing file is empty."""
+    named = table(spark, d, "task_environments").where("workspace_transition is not null and task_id is not null")
+    paths = named.select("task_id", F.explode(F.map_keys("workspace_transition")).alias("path")).where("endswith(path, '.py')").distinct()
+    side = lambda s, name: _tree(spark, d, s).withColumnRenamed("content", name)
+    both = paths.join(side("initial_workspace", "before"), ["task_id", "path"], "left").join(side("workspace_transition", "after"), ["task_id", "path"], "left")
+    keyed = both.select(F.concat_ws("#", "task_id", "path").alias("file_key"), F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
     return code.api_changes(code.symbol_definitions(keyed, "file_key", "before"), code.symbol_definitions(keyed, "file_key", "after"), "file_key")
 
 

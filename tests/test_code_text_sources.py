@@ -6,6 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from chronomill import plans
 from chronomill.functions import code
 from chronomill.functions import text as tx
 from chronomill.sources import readers, writers
@@ -106,6 +107,15 @@ def test_api_changes_and_resolution(spark):
     }
 
 
+def test_api_changes_of_deleted_and_new_files(spark, tmp_path):
+    one, two = "def f(a):\n    pass\n", "def f(a, b):\n    pass\n"
+    rows = [("t", {"gone.py": "class K:\n    def m(self): pass\n", "same.py": one, "kept.py": one, "gone.md": one}, {"gone.py": None, "new.py": one, "same.py": two, "gone.md": None, "never.py": None}), ("u", {"a.py": one}, None)]
+    spark.createDataFrame(rows, "task_id string, initial_workspace map<string,string>, workspace_transition map<string,string>").write.parquet(f"{tmp_path}/task_environments.parquet")
+    assert sorted(map(tuple, plans.queries()["api_changes"](spark, str(tmp_path)).select("file_key", "qualified_name", "change").collect())) == [
+        ("t#gone.py", "K", "removed"), ("t#gone.py", "K.m", "removed"), ("t#new.py", "f", "added"), ("t#same.py", "f", "signature"),
+    ]
+
+
 def test_solution_overlap(spark):
     body = "def g(x):\n    value = compute_all(x)\n    return transform(value, deep=True)\n"
     c = spark.createDataFrame([("a", "before\n value = compute_all(x)\n\n return transform(value, deep=True) after"), ("b", "else")], "k string, context string")
