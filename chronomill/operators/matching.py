@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +24,12 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
             slack = reach + c[row] - u[row] - v
             better = ~done & (slack < dist)
             dist[better], prev[better] = slack[better], col
-            col = int(np.argmin(np.where(done, np.inf, dist)))
-            reach, done[col] = dist[col], True
+            ahead = np.where(done, np.inf, dist)
+            reach = ahead.min()
+            ties = np.flatnonzero(ahead == reach)
+            free = ties[owner[ties] < 0]  # of equally near columns a free one ends the search
+            col = int(free[0] if len(free) else ties[0])
+            done[col] = True
             if owner[col] < 0:
                 break
             row = int(owner[col])
@@ -62,6 +67,34 @@ def best_pairs(scored: DataFrame, group: str, left: str, right: str, score: str)
     return scored.select(group, left, right, F.col(score).cast("double").alias(score)).groupBy(group).applyInPandas(solve, schema)
 
 
+def best_word_pairs(lefts: DataFrame, rights: DataFrame, group: str, left: str, right: str, words: str, score: str) -> DataFrame:
+    """(group, left, right, score): as ``best_pairs``, scored by the number of shared ``words`` (distinct ones).
+
+    Each record is shuffled once, not each pair. A group is solved whole in one task, over a matrix of four bytes a pair.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in [*lefts.schema.fields, *rights.schema.fields]}
+
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_id")
+        ids, at = ([], []), {}
+        for k, i, ws in zip(t["_side"].to_pylist(), t["_id"].to_pylist(), t["_words"].to_pylist(), strict=True):
+            for w in ws:
+                at.setdefault(w, ([], []))[k].append(len(ids[k]))
+            ids[k].append(i)
+        cost = np.zeros([len(x) for x in ids], np.int32)
+        for a, b in at.values():
+            if a and b:
+                cost[np.ix_(a, b)] -= 1
+        kept = [(i, j) for i, j in assign(cost) if cost[i, j] < 0] if cost.size else []
+        one = t["_id"].type
+        cols = [pa.array([t[group][0].as_py()] * len(kept), t[group].type), pa.array([ids[0][i] for i, _ in kept], one), pa.array([ids[1][j] for _, j in kept], one), pa.array([-float(cost[i, j]) for i, j in kept], pa.float64())]
+        return pa.table(cols, names=[group, left, right, score])
+
+    side = lambda d, k, c: d.where(F.size(words) > 0).select(group, F.lit(k).alias("_side"), F.col(c).alias("_id"), F.col(words).alias("_words"))
+    schema = f"{group} {kinds[group]}, {left} {kinds[left]}, {right} {kinds[right]}, {score} double"
+    return side(lefts, 0, left).unionByName(side(rights, 1, right)).groupBy(group).applyInArrow(solve, schema)
+
+
 def field_differences(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """(key, field, left_value, right_value) where two tables differ in a field; null equals null."""
     l, r = (d.select(key, F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(s)) for d, s in ((a, "_l"), (b, "_r")))

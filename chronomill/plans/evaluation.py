@@ -185,12 +185,11 @@ def audit_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_matching(spark: SparkSession, d: str) -> DataFrame:
-    """Records with even sequence as gold and odd as generated claims of one artifact and span of time, matched one to one."""
-    v = v1_records(spark, d).where("artifact_uri <> '' and observed_at is not null").withColumn("claim_group", F.concat_ws("#", "artifact_uri", F.floor(F.col("observed_at") / 500).cast("string")))
+    """Records with even sequence as gold and odd as generated claims of one artifact, matched one to one."""
+    v = v1_records(spark, d).where("artifact_uri <> '' and observed_at is not null")
     words = F.array_distinct(F.filter(F.split(F.lower("statement"), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 2))
-    side = lambda k, n: v.where(F.pmod("ingest_seq", F.lit(2)) == k).select("claim_group", F.col("memory_id").alias(n), F.explode(words).alias("w"))
-    shared = side(0, "gold_id").join(side(1, "claim_id"), ["claim_group", "w"]).groupBy("claim_group", "gold_id", "claim_id").agg(F.count("*").alias("score"))
-    return matching.best_pairs(shared, "claim_group", "gold_id", "claim_id", "score")
+    side = lambda k, n: v.where(F.pmod("ingest_seq", F.lit(2)) == k).select(F.col("artifact_uri").alias("claim_group"), F.col("memory_id").alias(n), words.alias("words"))
+    return matching.best_word_pairs(side(0, "gold_id"), side(1, "claim_id"), "claim_group", "gold_id", "claim_id", "words", "score")
 
 
 def claim_quality(spark: SparkSession, d: str) -> DataFrame:

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chronomill.operators import matching, rules, stats
+from chronomill.plans import evaluation
 
 
 def test_assignment_is_optimal():
@@ -25,6 +27,30 @@ def test_best_pairs(spark):
     assert sorted(map(tuple, matching.best_pairs(df, "grp", "gold", "claim", "score").collect())) == [("t", "g1", "c1", 4.0), ("t", "g2", "c2", 5.0), ("u", "g", "c", 1.0)]
 
 
+def test_claims_of_one_artifact_far_apart_in_time(spark, data, tmp_path):
+    one = spark.read.parquet(f"{data}/memory_records_v1.parquet").limit(1)
+    rows = [(0, "g0", "alpha beta gamma", 499.0), (2, "g2", "alpha beta", 10.0), (1, "c1", "Alpha, beta, gamma", 501.0), (3, "c3", "alpha delta", 90000.0), (5, "c5", "omega", 12.0)]
+    for k, m, statement, at in rows:
+        at_ = {"ingest_seq": F.lit(k).cast("bigint"), "memory_id": F.lit(m), "statement": F.lit(statement), "observed_at": F.lit(at), "artifact_uri": F.lit("a.py")}
+        one.withColumns(at_).write.mode("append").parquet(f"{tmp_path}/memory_records_v1.parquet")
+    got = sorted(map(tuple, evaluation.claim_matching(spark, str(tmp_path)).collect()))
+    assert got == [("a.py", "g0", "c1", 3.0), ("a.py", "g2", "c3", 1.0)]
+    assert evaluation.claim_quality(spark, str(tmp_path)).first().matched == 2
+
+
+def test_best_word_pairs_against_all_orders(spark):
+    rng = random.Random(3)
+    side = lambda p, n: [(g, f"{p}{k}", rng.sample("abcdef", rng.randint(0, 4))) for g in "xyz" for k in range(n)]
+    l, r = side("l", 5), side("r", 6)
+    a, b = (spark.createDataFrame(rows, f"g string, {n} string, w array<string>") for rows, n in ((l, "l"), (r, "r")))
+    out = matching.best_word_pairs(a, b, "g", "l", "r", "w", "s").collect()
+    for g in "xyz":
+        left, right = ([set(w) for x, _, w in rows if x == g] for rows in (l, r))
+        best = max(sum(len(w & right[j]) for w, j in zip(left, p, strict=True)) for p in itertools.permutations(range(6), 5))
+        mine = [x for x in out if x.g == g]
+        assert sum(x.s for x in mine) == best and len({x.l for x in mine}) == len({x.r for x in mine}) == len(mine)
+
+
 def test_confusion_and_quality(spark):
     df = spark.createDataFrame([(True, True)] * 3 + [(True, False)] + [(False, False)] * 4 + [(False, True)] * 2 + [(False, None)], "t boolean, p boolean")
     r = stats.quality(stats.confusion(df, [], F.col("t"), F.col("p"))).first()
