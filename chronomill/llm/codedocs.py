@@ -224,6 +224,7 @@ def javascript_symbols(text: str) -> list[Symbol]:
     text = _unix(text)
     toks, comments = _js_tokens(text)
     close, n = _closing(toks), len(toks)
+    opens = {b: a for a, b in close.items()}
     out: list[Symbol] = []
 
     def is_(k: int, *marks: str) -> bool:
@@ -299,10 +300,9 @@ def javascript_symbols(text: str) -> list[Symbol]:
                     first = name_at - is_(name_at - 1, "*")
                     while word(first - 1, "async", "static", "get", "set", "public", "private", "protected", "override", "readonly"):
                         first -= 1
-                    while word(first - 1) and toks[first - 1].text.startswith("@") or is_(first - 1, ")") and any(close.get(q) == first - 1 and word(q - 1) and toks[q - 1].text.startswith("@") for q in range(max(0, first - 200), first - 1)):
-                        if is_(first - 1, ")"):
-                            first = next(q for q in range(first - 2, -1, -1) if close.get(q) == first - 1)
-                        first -= 1
+                    decorator = lambda q: word(q) and toks[q].text.startswith("@")
+                    while decorator(first - 1) or is_(first - 1, ")") and decorator(opens.get(first - 1, 0) - 1):
+                        first = opens.get(first - 1, first) - 1 if is_(first - 1, ")") else first - 1
                     name = f"{inside}.{toks[name_at].text.lstrip('#')}".strip(".")
                     add(name, first, k, close[body])
                     spans.append((body + 1, close[body], name, False))

@@ -142,6 +142,12 @@ def test_javascript():
     assert {"bare", "Box.constructor", "later", "merge_batch_now"} <= names and not names & {"fake", "fake2", "x", "no", "Box.handler", "Box.if", "expr", "named"}
 
 
+def test_javascript_long_decorators():
+    for n in (3, 150, 5000):
+        text = "class A {\n  // Keep the size of this box as it is.\n  @plain\n  @options([" + ", ".join(map(str, range(n))) + "])\n  sized(x) { return x; }\n}\n"
+        assert set(docs("a.js", text)) == {"A.sized"}
+
+
 def test_other_files_give_nothing():
     assert C.symbols("a.md", PY) == [] and C.symbols("a.PY", PY) == []
 
