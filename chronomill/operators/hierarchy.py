@@ -4,8 +4,9 @@ Records are cut into blocks of neighbouring arrival order. Inside a block every
 where it leaves the block (a fragment exit) or ends (a root). The records that exits point to, with their
 contracted rows, are the smaller quotient forest; it is solved the same way over blocks sixteen times as
 wide until it fits one task, and its answers are joined back to the exits. Records on a cycle are not
-contracted before the last level, so a cycle is seen whole even if it crosses blocks, and each contracted
-row remembers the least key on its way.
+contracted before the last level, nor are walks past a record that has an exit and another end, which may lie
+on a cycle across blocks; so a cycle is seen whole even if it crosses blocks, and each contracted row
+remembers the least key on its way.
 
 Where the last quotient is larger than one task should take, its finished layers are resolved by joins
 first, until the rest fits.
@@ -91,7 +92,7 @@ def _contract(key: tuple, t: pa.Table, last: bool, paths: bool) -> pa.Table:
         old = res.get(k)
         res[k] = (low, way, all_) if old is None else (min(old[0], low), min(old[1], way), old[2] | all_)
 
-    looped = [False] * len(names)
+    looped, parted = [False] * len(names), [False] * len(names)
     for group in _components(len(names), up):
         if len(group) > 1 or group[0] in up[group[0]]:
             for v in group:
@@ -120,12 +121,15 @@ def _contract(key: tuple, t: pa.Table, last: bool, paths: bool) -> pa.Table:
                 put(result[v], (anc[r], dist[r], kind[r]), least[r], way, all_)
             elif anc[r] not in own:
                 put(result[v], (anc[r], dist[r], ROOT), least[r], way, all_)
-            elif looped[own[anc[r]]] and not last:
+            elif not last and (looped[own[anc[r]]] or parted[own[anc[r]]]):
                 put(result[v], (anc[r], dist[r], EXIT), least[r], way, all_)
             else:
                 step = frozenset([anc[r]]) if paths else all_
                 for (a, d, k), (low, way2, all2) in result[own[anc[r]]].items():
                     put(result[v], (a, -1 if k == CYCLE else d + dist[r], k), min(low, least[r]), way + way2, all_ | step | all2)
+        # A record that leaves the block and has another end as well: on a cycle across blocks, the other end does not count.
+        ends = {(a, k) for a, _, k in result[v]}
+        parted[v] = len(ends) > 1 and any(k == EXIT for _, k in ends)
     out = [
         (link, names[v], block[names[v]], a, block[a] if k == EXIT else None, d, k, low, list(way), sorted(all_ - {names[v]}))
         for v in range(len(names))

@@ -80,6 +80,13 @@ def test_cycle_across_blocks_and_below(spark):
     assert got == sorted([("supersedes", f"m{k:02d}", "m00", -1) for k in range(20)] + [("supersedes", "z", "m00", -1), ("supersedes", "self", "self", -1)])
 
 
+def test_cycle_across_blocks_with_other_parents(spark):
+    up = {7: [8, 3], 8: [7], 6: [7], 5: [6], 12: [20, 1], 20: [12], 11: [12, 2], 21: [11], 22: [12], 30: [31], 31: [40, 9], 40: [30], 29: [30]}
+    rows = [(k, f"m{k:02d}", None, [f"m{a:02d}" for a in up.get(k, [])], "", "") for k in range(45)]
+    for block in (8, 1, 3, 100):
+        assert run(spark, rows, block_rows=block) == brute(rows, "depends_on")
+
+
 def test_paths_and_ancestors(spark):
     rows = [(0, "r", None, None, "", ""), (1, "a", "r", ["r"], "", ""), (2, "b", "a", ["a", "r"], "", ""), (3, "c", "b", ["b"], "", "")]
     for block in (1, 100):
