@@ -1,15 +1,15 @@
 """Splitting oversized texts at natural boundaries, with overlap, by pointer doubling.
 
-Every place where a piece may begin is joined to its farthest legal end: at most ``limit`` tokens on, at the
-end of a paragraph, else of a line, a sentence, a word or behind a mark. The successor is the place about ``overlap`` tokens
-before that end, where the next piece begins. The successor table is squared again and again while the set
+Every place where a piece may end is joined to its farthest legal successor: the next piece begins about
+``overlap`` tokens before that place and ends at most ``limit`` tokens on, at the end of a paragraph, else of a
+line, a sentence, a word or behind a mark. The successor table is squared again and again while the set
 of places reached from the start doubles with it; so all greedy cuts of a text come out together, after
 logarithmically many steps.
 
-A paragraph, line or sentence end is taken if it lies in the last half of what the limit allows, the best
-kind first; otherwise any natural boundary within the limit is, the farthest first. Only where a stretch of
-``limit`` tokens has none is the cut made between two characters. A piece is the text between two places; its
-tokens are counted on the piece itself.
+In the last half of what the limit allows the best kind of boundary is taken, and of that kind the farthest. Where
+that half has none, the farthest natural boundary is, however short the piece. Only where there is none between the
+last cut and the limit is the cut made between two characters. A piece is the text between two places; its tokens
+are counted on the piece itself.
 
 Defined cases: null, empty and short texts give no piece; every text is split whole; the pieces cover the
 text from its first to its last character; equal texts are split equally.
@@ -91,44 +91,50 @@ def greedy(starts: np.ndarray, successor: np.ndarray) -> np.ndarray:
 def _plan(ends: np.ndarray, kinds: list[np.ndarray], chars: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """(start, end, kind) in bytes of each piece. ``ends``: byte place after each token; ``chars``: places between characters."""
     n, size = len(ends), int(ends[-1])
-    # Tokens up to a place, the one it may fall into included.
-    token_at = lambda places: np.searchsorted(ends, places) + 1
-    cost = [(k, token_at(k)) for k in kinds]
-    fine = chars[np.isin(chars, ends)] if n else chars
+    # Tokens up to a place, the one it may fall into included; and those that lie wholly before it.
+    upto = lambda places: np.searchsorted(ends, places) + 1
+    before = lambda places: np.searchsorted(ends, places, side="right")
+    fine = chars[np.isin(chars, ends)]
     fine = fine if len(fine) else chars
-    cost.append((fine, token_at(fine)))
-    begin = np.unique(np.concatenate([[0], kinds[-1], fine]))
-    begun = np.searchsorted(ends, begin, side="right")  # tokens that lie wholly before
-    stop = np.full(len(begin), -1)
-    label = np.full(len(begin), len(KINDS) - 1)
-    rest = n - begun <= limit
-    stop[rest] = size
-    for low, upto in ((limit // 2, len(KINDS) - 1), (2 * overlap + 1, len(KINDS))):
-        for k, (place, at) in enumerate(cost[:upto]):
-            if not len(place):
-                continue
+    # Every place where a piece may end, and where the piece after that end begins: about ``overlap`` tokens back.
+    end = np.unique(np.concatenate([[0], kinds[-1], fine]))
+    want = (before(end) - overlap).clip(0)
+
+    def back(places: np.ndarray) -> np.ndarray:
+        return places[(np.searchsorted(before(places), want, side="right") - 1).clip(0)]
+
+    begin = back(np.append(0, kinds[-1]))
+    begin = np.where(before(begin) < want - overlap, np.maximum(begin, back(np.append(0, fine))), begin)
+    begun = before(begin)
+
+    stop = np.where(n - begun <= limit, size, -1)
+
+    def reach(places: np.ndarray, least: int) -> None:
+        """End pieces that still have none at the farthest of some places that the limit allows and that moves on."""
+        if len(places):
+            at = upto(places)
             i = np.searchsorted(at, begun + limit, side="right") - 1
-            good = (stop < 0) & (i >= 0) & (at[i.clip(0)] >= begun + low)
-            stop[good] = place[i.clip(0)[good]]
-            label[good] = k
-    # A stretch of one endless token run still moves on by a character place.
+            i, some = i.clip(0), i >= 0
+            good = (stop < 0) & some & (at[i] >= begun + least) & (places[i] > end)
+            stop[good] = places[i[good]]
+
+    for places in kinds:
+        reach(places, limit // 2)
+    reach(kinds[-1], 1)
+    reach(fine, 1)
     stuck = stop < 0
-    stop[stuck] = size if not len(fine) else fine[np.searchsorted(fine, begin[stuck], side="right").clip(max=len(fine) - 1)]
-    natural = np.unique(np.concatenate([[0], kinds[-1]]))
-    want = np.searchsorted(ends, stop, side="right") - overlap
-    begun_natural = np.searchsorted(ends, natural, side="right")
-    j = (np.searchsorted(begun_natural, want, side="right") - 1).clip(0)
-    following = natural[j]
-    far = (begun_natural[j] < want - overlap) | (following <= begin)
-    if len(fine):
-        f = (np.searchsorted(np.searchsorted(ends, fine, side="right"), want, side="right") - 1).clip(0)
-        following = np.where(far, fine[f], following)
-    following = np.where(following <= begin, stop, following)
-    nxt = np.searchsorted(begin, following)
-    own = np.arange(len(begin))
-    nxt = np.where(stop >= size, own, nxt.clip(max=len(begin) - 1))
-    chain = greedy(begin, nxt)
-    return [(int(begin[i]), int(stop[i]), KINDS[label[i]] if stop[i] < size else "end") for i in chain]
+    if stuck.any():  # one token longer than the limit allows: on by a character place
+        stop[stuck] = np.append(fine, size)[np.searchsorted(fine, end[stuck], side="right")]
+    following = np.where(stop >= size, np.arange(len(end)), np.searchsorted(end, stop).clip(max=len(end) - 1))
+    chain = greedy(end, following)
+
+    def kind(place: int) -> str:
+        if place >= size:
+            return "end"
+        at = [np.searchsorted(k, place) for k in kinds]
+        return next((name for name, k, i in zip(KINDS, kinds, at, strict=False) if i < len(k) and k[i] == place), KINDS[-1])
+
+    return [(int(begin[i]), int(stop[i]), kind(int(stop[i]))) for i in chain]
 
 
 def split(text: str | None, encode: Callable[[str], list[int]], table: list[bytes], limit: int = LIMIT, overlap: int = OVERLAP) -> list[Piece]:

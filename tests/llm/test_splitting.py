@@ -46,6 +46,18 @@ def test_texts_without_boundaries(text):
     check(text, 300, 30)
 
 
+def test_every_natural_boundary_comes_before_a_cut_between_characters():
+    # Word ends, then a run without any: the last word end is the cut, however near it is.
+    text = "word " * 140 + "deadbeef01" * 900
+    pieces = check(text, 500, 50)
+    assert pieces[0].kind == "word" and text[: pieces[0].end].rstrip().endswith("word") and pieces[0].end >= 139 * 5
+    assert {p.kind for p in pieces[1:-1]} == {"character"}
+    # A paragraph in the first half loses to the farthest boundary of the last half.
+    text = "A few words. " * 40 + "\n\n" + "More words here. " * 400
+    first = check(text, 500, 50)[0]
+    assert first.kind == "sentence" and first.n_tokens > 480
+
+
 def test_greedy_cuts_by_doubling_are_those_of_a_walk():
     rng = random.Random(4)
     for n in (1, 2, 17, 400):
