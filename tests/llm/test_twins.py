@@ -80,6 +80,40 @@ def test_counts_rewrites_and_one_hot_text(spark):
     assert got.where("keep_id = 'h0000'").count() == 400 and got.agg({"n_rows": "sum"}).first()[0] == len(rows)
 
 
+@pytest.mark.parametrize(("a", "b"), [
+    ("level=info msg=ok id=3", "id=3 level=info msg=ok"),
+    ('level=info msg="a; b=c" id=3', 'id=3 msg="a; b=c" level=info'),
+    ("level=info msg=a,b id=3", "msg=a,b id=3 level=info"),
+    ("a=1;b=2 c=3", "c=3 a=1 b=2"),
+    ("a: 1 b: 2 at: 10:30", "at: 10:30 b: 2 a: 1"),
+    ("one two three four five: x; b: y", "b: y; one two three four five: x"),
+    ("first name=Jo; last name=Doe x", "last name=Doe x; first name=Jo"),
+    ('k: {"y":2,"x":1}; z: 3', '{"z": 3, "k": {"x": 1, "y": 2}}'),
+    ('k: {"y":2,"x":1}, z: 3', "z: 3, k: {'ignored'}".replace("{'ignored'}", '{"x":1,"y":2}')),
+    ("<r><a>1</a><b>2</b></r>", "<r><b>2</b> <a>1</a></r>"),
+    ('<r a="1" b="2"/>', "<r b='2' a='1' />"),
+    ("| a | b |\n|---|---|\n| 1 | 2 |", "| b | a |\n| --- | --- |\n| 2 | 1 |"),
+    ("a | 1\nb | 2", "b | 2\na | 1"),
+    ('[{"a":1,"b":2},{"c":3}]', '[{"b":2,"a":1},{"c":3}]'),
+])
+def test_fields_in_more_notations(a, b):
+    assert merkle(a)[2] is not None and merkle(a)[2:] == merkle(b)[2:]
+
+
+@pytest.mark.parametrize(("a", "b"), [
+    ('[{"a":1},{"b":2}]', '[{"b":2},{"a":1}]'),
+    ("10:30, 11:45", "11:45, 10:30"),
+    ("[1, 2]", "[2, 1]"),
+    ("see http://a/b; ftp://c/d", "see ftp://c/d; http://a/b"),
+    ("a=1 b=2", "a=2 b=1"),
+    ("<r><a>1</a><b>2</b></r>", "<r><a>2</a><b>1</b></r>"),
+    ("| a | b |\n|---|---|\n| 1 | 2 |", "| a | b |\n|---|---|\n| 2 | 1 |"),
+    ("x | y | z\n1 | 2 | 3", "1 | 2 | 3\nx | y | z"),
+])
+def test_orders_that_count(a, b):
+    assert (merkle(a)[2] or merkle(a)[0]) != (merkle(b)[2] or merkle(b)[0])
+
+
 def test_empty(spark):
     assert groups(spark, []) == []
 
