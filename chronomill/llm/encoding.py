@@ -1,8 +1,9 @@
 """Encoding of a whole corpus with a public byte-level tokenizer, each shared chunk of text once.
 
 Documents are cut where a rolling hash of the last sixteen characters says so, so equal passages are cut
-into equal chunks wherever they stand. Distinct chunks are encoded once, and a document's ids are put
-together from those of its chunks. A cut is moved on to the next place at which the tokenizer's splitting
+into equal chunks wherever they stand. Chunks meet by key; each is encoded once (one that comes very often once more for
+each task that has it often, so that no task gets all its rows), and a document's ids are put together from those of
+its chunks. A cut is moved on to the next place at which the tokenizer's splitting
 pattern is certain to separate two characters; ids then simply follow each other. Where there is no such
 place, the ids around the join are decoded back to the nearest certain places on both sides and encoded
 again, so the result is exactly that of encoding the whole text.
@@ -18,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ CUT_BITS = 9  # one cut in 512 characters
 LEAST, MOST, LOOK_ON = 64, 8192, 64
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _SEEN_MOST = 500_000
+OFTEN = 1000  # rows of one chunk in one task from which on it is dealt out
 _SLICE_CHARS = 1_000_000
 
 
@@ -85,55 +88,55 @@ def _key(chunk: str) -> bytes:
     return hashlib.blake2b(chunk.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _refs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk of each document, in order; one without a key for a document without chunks."""
-    for b in batches:
-        pos, certain, keys, at = [], [], [], []
-        for row, parts in enumerate(chunks([t or "" for t in b.column(1).to_pylist()])):
-            for k, part in enumerate(parts or [None]):
-                at.append(row)
-                pos.append(k)
-                keys.append(part and _key(part))
-                certain.append(k == 0 or is_joint(parts[k - 1][-1], part[0]))
-        own = [b.column(c).take(pa.array(at, pa.int32())) for c in (0, 2)]
-        cols = [*own, pa.array(pos, pa.int32()), pa.array(certain, pa.bool_()), pa.array(keys, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "pos", "certain", "key"])
-
-
-def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key and text of each chunk that this task has not seen yet."""
-    seen: set[bytes] = set()
-    for b in batches:
-        keys, texts = [], []
-        for parts in chunks([t for t in b.column(0).to_pylist() if t]):
-            for part in parts:
-                key = _key(part)
-                if key not in seen:
-                    seen.add(key)
+def _chunked(often: int) -> Callable:
+    """A row for each chunk of each document, in order; one without a key for a document without chunks.
+
+    The text goes with the first row of a chunk in this task. A chunk that comes ``often`` is dealt out: its later
+    rows, again with one text, go by the number of the task as well as by the key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        own_deal = 1 + (task.partitionId() if task else 0)
+        seen: dict[bytes, int] = {}
+        for b in batches:
+            at, pos, certain, keys, deals, texts = [], [], [], [], [], []
+            for row, parts in enumerate(chunks([t or "" for t in b.column(1).to_pylist()])):
+                for k, part in enumerate(parts or [None]):
+                    key = part and _key(part)
+                    n = seen[key] = seen.get(key, 0) + 1 if key else 0
+                    at.append(row)
+                    pos.append(k)
+                    certain.append(k == 0 or is_joint(parts[k - 1][-1], part[0]))
                     keys.append(key)
-                    texts.append(part)
-        if len(seen) > _SEEN_MOST:
-            seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(texts, pa.string())], ["key", "text"])
+                    deals.append(0 if key and n < often else own_deal)
+                    texts.append(part if n in (1, often) else None)
+            if len(seen) > _SEEN_MOST:
+                seen.clear()
+            own = [b.column(c).take(pa.array(at, pa.int32())) for c in (0, 2)]
+            types = (pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.string())
+            cols = [*own, *[pa.array(c, t) for c, t in zip((pos, certain, keys, deals, texts), types, strict=True)]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "pos", "certain", "key", "deal", "text"])
+
+    return run
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    values = np.concatenate(parts).astype(np.int32) if parts else np.empty(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+def _width(table: list[bytes]) -> str:
+    """Numbers as narrow as the vocabulary allows; only for the way between two steps."""
+    return "<u2" if len(table) <= 1 << 16 else "<u4"
 
 
 def _encoded(directory: str, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = encoder(directory, name), set()
+        encode, width = encoder(directory, name).encode_to_numpy, _width(token_bytes(directory, name))
+        last, ids = None, b""
         for b in batches:
-            keys, ids = [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if key not in seen:
-                    seen.add(key)
-                    keys.append(key)
-                    ids.append(own.encode_to_numpy(text, disallowed_special=()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists(ids)], ["key", "ids"])
+            out = []
+            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if key != last:  # rows come in the order of keys, the one with the text first
+                    last, ids = key, encode(text, disallowed_special=()).astype(width).tobytes() if key else b""
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(4)), pa.array(out, pa.binary())], ["doc_id", "text_hash", "pos", "certain", "ids"])
 
     return run
 
@@ -175,45 +178,63 @@ def joined(parts: list[tuple[bool, list[int]]], encode: Callable[[str], list[int
     return out
 
 
-def _assembled(parts: pa.ListArray, encode: Callable[[str], list[int]], table: list[bytes]) -> pa.ListArray:
-    """Ids of each document from its unordered parts; only documents with an uncertain join are looked into."""
-    row = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
-    flat = parts.flatten()
-    pos, certain = flat.field("pos").to_numpy(), flat.field("certain").to_numpy(zero_copy_only=False)
-    order = np.lexsort((pos, row))
-    again = np.append(False, (row[order][1:] == row[order][:-1]) & (pos[order][1:] == pos[order][:-1]))
-    order = order[~again]
-    row, certain = row[order], certain[order]
-    chunks_ = flat.field("ids").take(pa.array(order))
-    size = np.where(chunks_.is_null().to_numpy(zero_copy_only=False), 0, np.diff(chunks_.offsets.to_numpy()))
-    values = chunks_.flatten().to_numpy()
-    ends = np.concatenate([[0], np.cumsum(size)])
-    first = np.searchsorted(row, np.arange(len(parts) + 1))
-    out = [values[ends[a] : ends[b]] for a, b in zip(first, first[1:], strict=False)]
-    for k in np.unique(row[~certain]):
-        own = range(first[k], first[k + 1])
+def _assembled(t: pa.Table, encode: Callable[[str], list[int]], table: list[bytes]) -> pa.RecordBatch:
+    """Documents from their chunks in order; only those with an uncertain join are looked into."""
+    doc = t["doc_id"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+    text, pos = t["text_hash"].to_numpy(), t["pos"].to_numpy()
+    new = np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]))
+    # A document that was delivered twice has each chunk twice.
+    once = np.flatnonzero(new | np.append(True, pos[1:] != pos[:-1]))
+    begin = np.flatnonzero(new[once])
+    parts = t["ids"].take(pa.array(once)).to_pylist()
+    values = np.frombuffer(b"".join(parts), _width(table))
+    ends = np.append(0, np.cumsum([len(p) for p in parts])) // values.itemsize
+    bounds = np.append(begin, len(once))
+    out = [values[ends[a] : ends[b]] for a, b in zip(bounds, bounds[1:], strict=False)]
+    certain = t["certain"].to_numpy(zero_copy_only=False)[once]
+    for k in np.unique(np.searchsorted(begin, np.flatnonzero(~certain), side="right") - 1):
+        own = range(bounds[k], bounds[k + 1])
         out[k] = np.array(joined([(bool(certain[i]), values[ends[i] : ends[i + 1]].tolist()) for i in own], encode, table), np.int32)
-    return _lists(out)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in out])), pa.int32()), pa.array(np.concatenate(out).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([t["doc_id"].take(pa.array(once[begin])).combine_chunks(), lists], ["doc_id", "ids"])
 
 
 def _documents(directory: str, name: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, table = encoder(directory, name).encode_ordinary, token_bytes(directory, name)
+        held: list[pa.RecordBatch] = []  # rows of the last document, which may go on in the next batch
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _assembled(b.column(1), encode, table)], ["doc_id", "ids"])
+            if not b.num_rows:
+                continue
+            doc, text = b.column(0).to_pylist(), b.column(1).to_pylist()
+            n = b.num_rows
+            cut_at = next((i for i in range(n - 1, 0, -1) if (doc[i - 1], text[i - 1]) != (doc[n - 1], text[n - 1])), 0)
+            if held and (cut_at or (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (doc[0], text[0])):
+                ready, held = pa.Table.from_batches([*held, b.slice(0, cut_at)]), [b.slice(cut_at)]
+                yield _assembled(ready, encode, table)
+            elif cut_at:
+                held = [b.slice(cut_at)]
+                yield _assembled(pa.Table.from_batches([b.slice(0, cut_at)]), encode, table)
+            else:
+                held.append(b)
+        if held:
+            yield _assembled(pa.Table.from_batches(held), encode, table)
 
     return run
 
 
-def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", directory: str = TOKENIZER_DIR, name: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids) of every document."""
+def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", directory: str = TOKENIZER_DIR, name: str = VOCABULARY, often: int = OFTEN) -> DataFrame:
+    """(doc_id, ids) of every document.
+
+    Two shuffles: chunks meet by key, where each is encoded once, and documents meet by id.
+    """
     id_type = docs.schema[doc_id].dataType.simpleString()
-    whole_text = F.xxhash64(text).alias("text_hash")
-    refs = docs.select(doc_id, text, whole_text).mapInArrow(_refs, f"doc_id {id_type}, text_hash bigint, pos int, certain boolean, key binary")
-    # A chunk reaches the shuffle once per task that has it, and is encoded once.
-    texts = docs.select(text).mapInArrow(_distinct, "key binary, text string").repartition("key")
-    encoded = texts.mapInArrow(_encoded(directory, name), "key binary, ids array<int>")
-    # Chunks that a large part of the corpus shares crowd the references' side, which is split when oversized.
-    parts = refs.join(encoded, "key", "left").select("doc_id", "text_hash", F.struct("pos", "certain", "ids").alias("part"))
-    whole = parts.groupBy("doc_id", "text_hash").agg(F.collect_list("part").alias("parts")).drop("text_hash")
+    own = f"doc_id {id_type}, text_hash bigint, pos int, certain boolean"
+    chunked = (
+        docs.select(doc_id, text, F.xxhash64(text).alias("text_hash"))
+        .mapInArrow(_chunked(often), f"{own}, key binary, deal int, text string")
+    )
+    met = chunked.repartition("key", "deal").sortWithinPartitions("key", "deal", F.col("text").isNull())
+    encoded = met.mapInArrow(_encoded(directory, name), f"{own}, ids binary")
+    whole = encoded.repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "pos")
     return whole.mapInArrow(_documents(directory, name), f"doc_id {id_type}, ids array<int>")

@@ -51,6 +51,15 @@ def test_documents(spark):
     assert all(ids == (encode(texts[k]) if texts[k] else []) for k, ids in got)
 
 
+def test_frequent_chunks_are_dealt_out_and_keys_of_any_kind_work(spark):
+    texts = ["common passage, shared by many. " * 90] * 60 + ["", None] * 20 + [f"own {k} " * k for k in range(50)]
+    rows = [(None if k == 3 else f"d{k}", t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "name string, body string").repartition(4)
+    for often in (2, 7):
+        got = {r.doc_id: list(r.ids) for r in E.encode_corpus(df, "name", "body", often=often).collect()}
+        assert got == {k: encode(t) if t else [] for k, t in rows}
+
+
 def test_empty_table(spark):
     assert E.encode_corpus(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
