@@ -1,15 +1,18 @@
 """Functions paired with their documentation: symbol tables of source files, joined to code-description pairs.
 
-Every distinct file content is parsed once. A symbol table row has the qualified name (enclosing classes and
-functions joined by dots), the normalised signature, whether it is a mere declaration (an overload or a
-body without code), its documentation and its code. Documented declarations are then joined with separate
-definitions of the same name and signature in the task's other files of that side, so a definition without
-documentation of its own takes the declaration's; empty and trivial documentation is dropped last.
+A symbol table row has the qualified name (enclosing classes and functions joined by dots), the normalised
+signature with and without types, whether it is a mere declaration (an overload, a body without code, anything in
+a file of declarations), its documentation and its code. Files are parsed where they are read, each content once a
+task, so contents are never shuffled. Every definition is then joined with the documentation it points to: its own or,
+without one, that of the declarations of the same qualified name and signature in the task's files of that side.
+A definition without types takes each overload with its parameter names, one pair for each; one with types only that
+of the same types. Of several declarations with one signature the first path counts. Empty and trivial documentation
+is dropped last.
 
 Python: ``def`` and ``async def`` at any depth, from the syntax tree; a file that does not parse as Python 3
 gives nothing. JavaScript: ``function`` declarations and class methods, from a tokeniser that knows strings,
-templates, regular expressions and comments. Documentation is the docstring or, without one, the comment
-that ends on the line right above the function and its decorators.
+templates, regular expressions and comments. Files of declarations are ``.pyi`` and ``.d.ts``. Documentation is the
+docstring or, without one, the comment that ends on the line right above the function and its decorators.
 
 Trivial documentation has fewer than five words, TODO, FIXME or TBD as first word, or no word but those of
 the function's own name. Defined cases: null maps, contents and paths give nothing; repeated rows of a task
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import ast
 import functools
+import hashlib
 import warnings
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
@@ -35,11 +39,14 @@ from chronomill.llm.words import words
 LEAST_WORDS = 5
 # First words that mark documentation still to be written.
 PLACEHOLDERS = ("todo", "fixme", "tbd")
+SOURCES, DECLARATIONS = (".py", ".js"), (".pyi", ".d.ts")
+_MEMO_CHARS = 20_000_000
 
 
 class Symbol(NamedTuple):
     name: str
-    signature: str
+    shape: str  # names of the parameters
+    signature: str  # and their types, where there are any
     declared_only: bool
     doc: str | None
     code: str
@@ -68,25 +75,34 @@ def _above(lines: list[str], line: int, strings: Callable[[], list[tuple[int, in
         first -= 1
     if first == line:
         return None
-    inside = [end for begin, end in strings() if begin <= line - 1 and end >= first]
+    # A string that ends within these lines shows its closing quotes there.
+    quoted = any('"' in x or "'" in x for x in lines[first - 1 : line - 1])
+    inside = [end for begin, end in strings() if begin <= line - 1 and end >= first] if quoted else []
     first = max([first, *(end + 1 for end in inside)])
     return "\n".join(x.lstrip().lstrip("#") for x in lines[first - 1 : line - 1]) if first < line else None
 
 
+_BLOCKS = ("body", "orelse", "finalbody", "handlers", "cases")
+
+
 def _statements(node: ast.AST) -> Iterator[ast.AST]:
     """Statements right inside a node, where definitions can stand."""
-    for part in ("body", "orelse", "finalbody", "handlers", "cases"):
-        found = getattr(node, part, None)
-        if isinstance(found, list):
-            yield from found
+    for part in _BLOCKS:
+        if part in node._fields:
+            yield from getattr(node, part)
 
 
-def _py_signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
+def _py_signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> tuple[str, str]:
+    """Names of the parameters, and names with types."""
     a = node.args
-    names = [x.arg for x in (*a.posonlyargs, *a.args)]
-    names += [f"*{a.vararg.arg}"] if a.vararg else ["*"] if a.kwonlyargs else []
-    names += [x.arg for x in a.kwonlyargs] + ([f"**{a.kwarg.arg}"] if a.kwarg else [])
-    return ",".join(n for n in names if n not in ("self", "cls"))
+    marked = [("", x) for x in (*a.posonlyargs, *a.args)]
+    marked += [("*", a.vararg)] if a.vararg else [("*", None)] if a.kwonlyargs else []
+    marked += [("", x) for x in a.kwonlyargs] + ([("**", a.kwarg)] if a.kwarg else [])
+    if marked and marked[0][1] is not None and marked[0][1].arg in ("self", "cls"):
+        del marked[0]
+    names = [m + (x.arg if x else "") for m, x in marked]
+    typed = [n + (f":{ast.unparse(x.annotation)}" if x is not None and x.annotation is not None else "") for n, (_, x) in zip(names, marked, strict=True)]
+    return ",".join(names), "".join(c for c in ",".join(typed) if c not in " \"'")
 
 
 def _is_stub(node: ast.FunctionDef | ast.AsyncFunctionDef) -> bool:
@@ -95,7 +111,9 @@ def _is_stub(node: ast.FunctionDef | ast.AsyncFunctionDef) -> bool:
     return all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) for s in node.body)
 
 
-def python_symbols(text: str) -> list[Symbol]:
+def python_symbols(text: str, declarations: bool = False) -> list[Symbol]:
+    if "def" not in text:
+        return []
     text = _unix(text)
     try:
         with warnings.catch_warnings():
@@ -111,7 +129,8 @@ def python_symbols(text: str) -> list[Symbol]:
         node, inside = todo.pop()
         for kid in _statements(node):
             if not isinstance(kid, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                todo.append((kid, inside))
+                if "body" in kid._fields or "cases" in kid._fields:
+                    todo.append((kid, inside))
                 continue
             name = f"{inside}.{kid.name}" if inside else kid.name
             todo.append((kid, name))
@@ -120,7 +139,7 @@ def python_symbols(text: str) -> list[Symbol]:
                 doc = ast.get_docstring(kid)
                 doc = _above(lines, top, strings) if doc is None else doc
                 code = "\n".join(lines[top - 1 : kid.end_lineno])
-                out.append(Symbol(name, _py_signature(kid), _is_stub(kid), doc, code))
+                out.append(Symbol(name, *_py_signature(kid), declarations or _is_stub(kid), doc, code))
     return out
 
 
@@ -220,7 +239,7 @@ def _closing(tokens: list[_Js]) -> dict[int, int]:
     return pairs
 
 
-def javascript_symbols(text: str) -> list[Symbol]:
+def javascript_symbols(text: str, declarations: bool = False) -> list[Symbol]:
     text = _unix(text)
     toks, comments = _js_tokens(text)
     close, n = _closing(toks), len(toks)
@@ -249,9 +268,20 @@ def javascript_symbols(text: str) -> list[Symbol]:
 
     def add(name: str, first: int, open_: int, end: int | None) -> None:
         args, body_end = close.get(open_, n - 1), end
-        names = [toks[k].text for k in range(open_ + 1, args) if toks[k].kind == "name" and (k == open_ + 1 or is_(k - 1, ",", "."))]
+        names, typed, k = [], [], open_ + 1
+        while k < args:  # one parameter, up to the next comma outside of brackets
+            parts, angles = [], 0
+            while k < args and (angles > 0 or not is_(k, ",")):
+                angles += is_(k, "<") - is_(k, ">") if declarations else 0
+                parts += [t.text for t in toks[k : close.get(k, k) + 1]]
+                k = close.get(k, k) + 1
+            k += 1
+            own = next((x for x in parts if x != "."), "")
+            names.append(own if parts[:1] != ["."] else f"...{own}")
+            kind = "".join(parts[parts.index(":") + 1 :]).partition("=")[0] if ":" in parts and own not in ("{", "[") else ""
+            typed.append(names[-1] + (f":{kind}" if kind else ""))
         stop = toks[body_end].at + 1 if body_end is not None else toks[args].at + 1
-        out.append(Symbol(name, ",".join(names), body_end is None, doc_above(first), text[toks[first].at : stop]))
+        out.append(Symbol(name, ",".join(names), ",".join(typed), declarations or body_end is None, doc_above(first), text[toks[first].at : stop]))
 
     def body_of(open_: int) -> int | None:
         """Index of the brace that opens the body of the function whose parameters open at ``open_``."""
@@ -296,6 +326,14 @@ def javascript_symbols(text: str) -> list[Symbol]:
                 name_at = k - 1
                 own = name_at >= 0 and (toks[name_at].kind == "name" or toks[name_at].kind == "value" and toks[name_at].text)
                 body = body_of(k)
+                declared = declarations and (is_(close.get(k, n) + 1, ":", ";") or toks[min(close.get(k, n) + 1, n - 1)].line > toks[min(close.get(k, n), n - 1)].line)
+                if declared and own and toks[name_at].text not in _NOT_METHODS:
+                    first = name_at
+                    while word(first - 1, "static", "get", "set", "public", "private", "protected", "abstract", "readonly"):
+                        first -= 1
+                    add(f"{inside}.{toks[name_at].text}".strip("."), first, k, None)
+                    k = close.get(k, k) + 1
+                    continue
                 if own and toks[name_at].text not in _NOT_METHODS and body is not None and is_(close[k] + 1, "{") or own and body is not None and is_(close.get(k, n) + 1, ":"):
                     first = name_at - is_(name_at - 1, "*")
                     while word(first - 1, "async", "static", "get", "set", "public", "private", "protected", "override", "readonly"):
@@ -324,72 +362,86 @@ def javascript_symbols(text: str) -> list[Symbol]:
 
 
 def symbols(path: str, text: str) -> list[Symbol]:
-    return python_symbols(text) if path.endswith(".py") else javascript_symbols(text) if path.endswith(".js") else []
-
-
-_PARSED = "suffix string, content_key string, function_name string, signature string, declared_only boolean, doc string, code string"
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for suffix, key, text in zip(*(b.column(c).to_pylist() for c in ("suffix", "content_key", "content")), strict=True):
-            rows += [(suffix, key, *s) for s in symbols(suffix, text)]
-        types = [pa.string()] * 4 + [pa.bool_(), pa.string(), pa.string()]
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[f.split()[0] for f in _PARSED.split(", ")])
-
-
-def source_files(tasks: DataFrame) -> DataFrame:
-    """(task_id, side, path, suffix, content, content_key) of the .py and .js files, repeated rows once."""
-    sides = F.array(
-        F.struct(F.lit("initial").alias("side"), F.map_entries("initial_workspace").alias("files")),
-        F.struct(F.lit("transition").alias("side"), F.map_entries("workspace_transition").alias("files")),
-    )
-    return (
-        tasks.select("task_id", F.explode(sides).alias("s"))
-        .select("task_id", "s.side", F.explode("s.files").alias("f"))
-        .select("task_id", "side", F.col("f.key").alias("path"), F.col("f.value").alias("content"))
-        .where("content is not null and (endswith(path, '.py') or endswith(path, '.js'))")
-        .withColumn("suffix", F.right("path", F.lit(3)))
-        .withColumn("content_key", F.sha2("content", 256))
+    if path.endswith((".py", ".pyi")):
+        return python_symbols(text, path.endswith(".pyi"))
+    return javascript_symbols(text, path.endswith(".d.ts")) if path.endswith((".js", ".d.ts")) else []
+
+
+_TABLE = (
+    "task_id string, side string, path string, function_name string, signature string, shape string, declared_only boolean,"
+    " documented boolean, place string, doc_key string, trivial boolean"
+)
+
+
+def _parsed(texts: bool) -> Callable:
+    """Rows of the symbol table of each task; documentation and code only with ``texts``."""
+    n_columns = 13 if texts else 11
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[tuple[str, str], tuple[str, list]] = {}
+        size = 0
+        for b in batches:
+            rows = []
+            tasks, *sides = (b.column(c).to_pylist() for c in range(3))
+            for task, *files in zip(tasks, *sides, strict=True):
+                for side, entries in zip(("initial", "transition"), files, strict=True):
+                    for path, text in entries or ():
+                        suffix = next((x for x in SOURCES + DECLARATIONS if path and path.endswith(x)), None)
+                        if text is None or suffix is None:
+                            continue
+                        if (suffix, text) not in memo:
+                            if size > _MEMO_CHARS:
+                                memo, size = {}, 0
+                            size += len(text)
+                            digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+                            found = [(s, s.doc is not None and is_trivial(s.doc, s.name)) for s in symbols(suffix, text)]
+                            memo[suffix, text] = digest, found
+                        digest, found = memo[suffix, text]
+                        for k, (s, trivial) in enumerate(found):
+                            # A documented symbol points to its own place, another one to what is declared elsewhere.
+                            place = f"{path}#{digest}#{k}"
+                            key = place if s.doc is not None or s.declared_only else f"{s.name}({s.signature})"
+                            rows.append((task, side, path, s.name, s.signature, s.shape, s.declared_only, s.doc is not None, place, key, trivial, s.doc, s.code)[:n_columns])
+            types = [*[pa.string()] * 6, pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()][:n_columns]
+            cols = list(zip(*rows, strict=True)) or [()] * len(types)
+            names = [*(f.split()[0] for f in _TABLE.split(",")), "doc", "code"][:n_columns]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    return run
+
+
+def symbol_table(tasks: DataFrame, texts: bool = True) -> DataFrame:
+    """(task_id, side, path, function_name, signature, ..., doc, code) of every function."""
+    return tasks.select("task_id", "initial_workspace", "workspace_transition").mapInArrow(_parsed(texts), _TABLE + (", doc string, code string" if texts else ""))
+
+
+def resolved(tasks: DataFrame, texts: bool = True) -> DataFrame:
+    """Definitions joined with the documentation they point to: their own (``is_own``) or a declaration's.
+
+    A documented symbol can be pointed to by its place, a documented declaration also by its name and signature and
+    by its name and the names of its parameters.
+    """
+    table = cut(symbol_table(tasks, texts))
+    named = lambda c: F.concat("function_name", F.lit("("), c, F.lit(")"))
+    keys = F.when(F.col("declared_only"), F.array_distinct(F.array("place", named("signature"), named("shape")))).otherwise(F.array("place"))
+    found = F.struct("path", "place", "trivial", *(["doc"] if texts else []))
+    docs = (
+        table.where("documented")
+        .select("task_id", "side", F.explode(keys).alias("doc_key"), F.col("signature").alias("doc_signature"), found.alias("_d"))
+        .groupBy("task_id", "side", "doc_key", "doc_signature")
+        .agg(F.min("_d").alias("_d"))
     )
-
-
-def symbol_table(tasks: DataFrame) -> DataFrame:
-    """(task_id, side, path, function_name, signature, declared_only, doc, code) of every function."""
-    files = source_files(tasks)
-    # A content occurs in many tasks and on both sides; it is parsed once.
-    contents = files.groupBy("suffix", "content_key").agg(F.min("content").alias("content"))
-    parsed = contents.mapInArrow(_parse, _PARSED)
-    places = files.select("task_id", "side", "path", "suffix", "content_key").distinct()
-    return places.join(parsed, ["suffix", "content_key"]).drop("suffix", "content_key")
-
-
-def _is_trivial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = [not is_trivial(d, n) for d, n in zip(b.column("doc").to_pylist(), b.column("function_name").to_pylist(), strict=True)]
-        yield b.filter(pa.array(keep, pa.bool_()))
+    joined = table.drop("doc", "trivial", "documented", "declared_only").join(docs, ["task_id", "side", "doc_key"])
+    return joined.select("*", F.col("_d.path").alias("doc_path"), (F.col("_d.place") == F.col("place")).alias("is_own"), *[F.col(f"_d.{c}") for c in ("trivial", "doc")[: 1 + texts]])
 
 
 def pairs(tasks: DataFrame) -> DataFrame:
-    """(task_id, side, path, function_name, signature, doc, doc_path, code): definitions with documentation.
-
-    A definition keeps its own documentation. One without takes that of a documented declaration of the same
-    qualified name and normalised signature in the same task and side.
-    """
-    table = cut(symbol_table(tasks))
-    keys = ["task_id", "side", "function_name", "signature"]
-    declared = (
-        table.where("declared_only and doc is not null").groupBy(*keys).agg(F.min(F.struct("path", "doc")).alias("_d"))
-    )
-    bare = table.where("not declared_only and doc is null")
-    own = table.where("doc is not null").withColumn("doc_path", F.col("path"))
-    lent = bare.drop("doc").join(declared, keys).select(*[c for c in bare.columns if c != "doc"], F.col("_d.doc").alias("doc"), F.col("_d.path").alias("doc_path"))
-    both = own.unionByName(lent).select("task_id", "side", "path", "function_name", "signature", "doc", "doc_path", "code")
-    return both.mapInArrow(_is_trivial, both.schema)
+    """(task_id, side, path, function_name, signature, doc, doc_path, code): functions with documentation that says something."""
+    said = resolved(tasks).where("not trivial").dropDuplicates(["task_id", "side", "place", "doc_signature"])
+    return said.select("task_id", "side", "path", "function_name", "signature", "doc", "doc_path", "code")
 
 
 def found(tasks: DataFrame) -> DataFrame:
-    """(task_id, side, path, function_name) of the functions that are documented where they stand."""
-    return pairs(tasks).where("doc_path = path").select("task_id", "side", "path", "function_name").distinct()
+    """(task_id, side, path, function_name) of the functions of source files that are documented where they stand."""
+    here = F.col("is_own") & (F.endswith("path", F.lit(SOURCES[0])) | F.endswith("path", F.lit(SOURCES[1])))
+    return resolved(tasks, texts=False).where(~F.col("trivial") & here).select("task_id", "side", "path", "function_name").distinct()

@@ -171,3 +171,27 @@ def test_tables(spark):
     lent = C.pairs(df).where("doc_path <> path").collect()
     assert [(r.path, r.doc_path, r.doc, r.code) for r in lent] == [("y.py", "x.py", "Tell how large the given thing is.", "def g(a):\n    return len(a)")]
     assert C.found(df.limit(0)).count() == 0
+
+
+def test_overloads_are_resolved_by_signatures(spark):
+    pyi = (
+        'def f(x: int) -> int:\n    """Add one to a whole number given."""\n    ...\n'
+        'def f(x: str) -> str:\n    """Add a mark to the text given."""\n    ...\n'
+        'class A:\n    def m(self, *, k: int = 1) -> None:\n        """Tell the large one what to do."""\n'
+    )
+    impl = "def f(x):\n    return x\nclass A:\n    def m(self, *, k=1):\n        pass\n    def n(self): return 1\n"
+    typed = "def f(x: str):\n    return x + '!'\n"
+    dts = "/** Merge both of the given lists of names. */\nexport declare function merge(a: string[], b: Map<string, number>): string[];\nexport declare class Box {\n  /** Put one more thing into this box. */\n  put(x: number): void;\n  take(): number;\n}\n"
+    js = "export function merge(a, b) { return a; }\nclass Box { put(x) { return x; } take() { return 1; } }\n"
+    df = spark.createDataFrame([("t", {"m.pyi": pyi, "m.py": impl + "    def m2(self): pass\n", "n.py": typed, "b.d.ts": dts, "b.js": js}, None, "", "")] * 2, TASKS)
+    got = sorted((r.path, r.function_name, C.words(r.doc)[1]) for r in C.pairs(df).where("doc_path <> path").collect())
+    # The body of A.m is a mere 'pass', so it is a declaration itself.
+    assert got == [("b.js", "Box.put", "one"), ("b.js", "merge", "both"), ("m.py", "f", "a"), ("m.py", "f", "one"), ("n.py", "f", "a")]
+    assert {(r.path, r.function_name) for r in C.pairs(df).where("doc_path = path").collect()} == {("m.pyi", "f"), ("m.pyi", "A.m"), ("b.d.ts", "merge"), ("b.d.ts", "Box.put")}
+    assert C.found(df).count() == 0
+
+
+def test_signatures_keep_types_and_kinds():
+    (s,) = C.symbols("a.py", "class A:\n  def g(self, a, /, b: 'int', *args, c=1, **kw): return 1")
+    assert (s.shape, s.signature) == ("a,b,*args,c,**kw", "a,b:int,*args,c,**kw")
+    assert [s.signature for s in C.symbols("a.js", "function f({ a, b = 1 }, ...rest) { return 1; }")] == ["{,...rest"]
