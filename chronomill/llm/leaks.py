@@ -1,18 +1,20 @@
 """Evaluation texts leaking into training text, verbatim or with other parameters.
 
-Texts are sequences of words (maximal runs of letters or digits, case ignored). Each word is canonicalised:
-numbers, units and names become typed placeholders, the words of the evaluation templates stay. Windows of
-twelve canonical words of the corpus are looked up in the hash index of those of the evaluation items; the
-slots of each pair of windows are then checked. A leak is verbatim where every slot has its item's value,
-re-parameterised where item values and document values correspond one to one and the window is verbatim
-from no other item.
-
-A name is a word that fewer than ``template_items`` items use. Windows with fewer than ``least_fixed``
-template words are looked up by their exact words instead, as their template says too little.
-
-The items are the stated query set. Their index is made per block of at most ``block_chars`` characters of
-items, so what is sent to the executors is bounded whatever their number, and the corpus is never shuffled:
-it is read once per block.
+Texts are sequences of words (maximal runs of letters or digits, case ignored). Each word is canonicalised into a
+typed placeholder or stays: a *number* begins with a digit; the words that make up templates stay; any other word
+is a *unit* right behind a number of the same window, else a *name*. A template of a window of twelve words has its
+words and placeholders in order, each placeholder with the place of its value's first occurrence, so two windows have
+the same template exactly where their fixed words are equal and their slot values correspond one to one. Windows
+of the corpus are hash-joined with those of the items by template; a leak is verbatim where the slots hold the
+item's own values, which a digest of the words confirms.
+
+Template words are the items' words that at least one in ``ONE_IN`` documents or items uses (items: three at
+least). A window with fewer than ``LEAST_FIXED`` of them says too little to be a template; it leaks verbatim only.
+
+Scale: the corpus is read once for windows (and once for the counts of words, where templates are asked for) and
+only windows that a Bloom filter of the items' windows lets through are shuffled. What is broadcast is that filter,
+at most ``MOST_BITS`` bits whatever the number of items, and the template words, of which there are at most
+``ONE_IN`` times as many as distinct words in a mean document or item. Items are never brought to the driver.
 
 Defined cases: null, empty and short texts (fewer words than a window) neither leak nor are leaked; equal
 documents each come out; repeated items are items of their own; long texts are searched whole.
@@ -21,25 +23,22 @@ documents each come out; repeated items are items of their own; long texts are s
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import reduce
-from typing import NamedTuple
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronomill.llm.words import words
 
 WINDOW = 12
-TEMPLATE_ITEMS = 3
+ONE_IN, TEMPLATE_ITEMS = 1000, 3
 LEAST_FIXED = 3
-MOST_TEMPLATE_WORDS = 50_000
-BLOCK_CHARS = 8_000_000
+BITS_A_KEY, MOST_BITS, LEAST_BITS = 16, 1 << 28, 1 << 16
+_PROBES = 4
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
-# Words that measure.
-UNITS = frozenset("s ms us ns min h sec second seconds minute minutes hour hours day days tick ticks kb mb gb tb byte bytes token tokens percent row rows entry entries commit commits argument arguments".split())
 _SLICE_WORDS, _KNOWN_MOST = 300_000, 200_000
 
 
@@ -47,201 +46,235 @@ def _h(w: str) -> int:
     return int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-_SLOTS = {k: _h(f"<{k}>") for k in ("number", "unit", "name")}
+def _digest(ws: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(ws).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
 
+_NUMBER, _UNIT, _NAME = (_h(f"<{k}>") for k in ("number", "unit", "name"))
 
-def windows(h: np.ndarray, n: int = WINDOW) -> np.ndarray:
-    """Hash of the n numbers from each position on (modulo 2**64); one for each window."""
+
+def windows(h: np.ndarray, n: int = WINDOW, first: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the n numbers from each position on (modulo 2**64); ``first`` stands for a window's first number."""
     if len(h) < n:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
-    for j in range(n):
+    out = (h if first is None else first)[: len(h) - n + 1].copy()
+    for j in range(1, n):
         out = out * _MULTIPLIER + h[j : len(h) - n + 1 + j]
     return out ^ (out >> np.uint64(31))
 
 
-class Index(NamedTuple):
-    """Hash index of one block of items. ``keys`` is sorted; the rest is aligned with it."""
-
-    keys: np.ndarray
-    exact: np.ndarray
-    item: np.ndarray
-    at: np.ndarray
-    item_ids: list
-    item_words: list[list[str]]
-    template: frozenset
+def template_of(ws: list[str], fixed: frozenset, least_fixed: int = LEAST_FIXED) -> bytes:
+    """Digest of a window's template; of its words where it has too few template words."""
+    if sum(w in fixed for w in ws) < least_fixed:
+        return _digest(ws)
+    out, numeric = [], False
+    for w in ws:
+        kind = "#" if w[0].isnumeric() else "%" if numeric else "@"
+        numeric = kind == "#"
+        out.append(w if w in fixed else f"{kind}{ws.index(w)}")
+    return _digest(out)
 
 
-def _kind(w: str, template: frozenset) -> str:
-    if w.isnumeric():
-        return "number"
-    if w in UNITS:
-        return "unit"
-    return "" if w in template else "name"
+class Canonical:
+    """Hash keys of the windows of many texts; the numbers of words are kept for reuse."""
 
+    def __init__(self, fixed: frozenset, least_fixed: int = LEAST_FIXED) -> None:
+        self.fixed, self.least_fixed = fixed, least_fixed
+        self._clear()
 
-class _Numbers:
-    """Exact and canonical number of words, and whether they are template words; kept for reuse."""
-
-    def __init__(self, template: frozenset) -> None:
-        self.template = template
-        self.clear()
-
-    def clear(self) -> None:
+    def _clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.rows: tuple[list, list, list] = ([], [], [])
+        self.rows: tuple[list, list, list, list] = ([], [], [], [])
 
-    def of(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _numbers(self, ws: list[str]) -> tuple[np.ndarray, ...]:
         if len(self.code) > _KNOWN_MOST:
-            self.clear()
-        code, rows = self.code, self.rows
+            self._clear()
+        code = self.code
         for w in set(ws).difference(code):
             code[w] = len(code)
-            kind, h = _kind(w, self.template), _h(w)
-            for col, v in zip(rows, (h, _SLOTS[kind] if kind else h, not kind), strict=True):
+            stays, numeric, h = w in self.fixed, w[0].isnumeric(), _h(w)
+            for col, v in zip(self.rows, (h, h if stays else _NUMBER if numeric else _NAME, stays, numeric), strict=True):
                 col.append(v)
         at = np.fromiter(map(code.__getitem__, ws), np.int64, len(ws))
-        return tuple(np.array(c, t)[at] for c, t in zip(rows, (np.uint64, np.uint64, bool), strict=True))
-
-
-def _keys(e: np.ndarray, c: np.ndarray, f: np.ndarray, least_fixed: int) -> tuple[np.ndarray, np.ndarray]:
-    exact, canonical = windows(e), windows(c)
-    fixed = np.concatenate([[0], np.cumsum(f)])
-    enough = fixed[WINDOW:] - fixed[:-WINDOW] >= least_fixed if len(exact) else np.empty(0, bool)
-    return np.where(enough, canonical, exact), exact
-
-
-def build_index(items: list[tuple[object, str | None]], template: frozenset, least_fixed: int = LEAST_FIXED) -> Index:
-    numbers = _Numbers(template)
-    said = [words(t) for _, t in items]
-    parts = []
-    for i, ws in enumerate(said):
-        key, exact = _keys(*numbers.of(ws), least_fixed)
-        parts.append((key, exact, np.full(len(key), i), np.arange(len(key))))
-    key, exact, item, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64),) * 4
-    order = np.argsort(key, kind="stable")
-    return Index(key[order], exact[order], item[order], at[order], [i for i, _ in items], said, template)
-
-
-def _consistent(item: list[str], doc: list[str], template: frozenset) -> bool:
-    """Whether slot values correspond one to one and the fixed words are equal."""
-    there, back = {}, {}
-    for x, y in zip(item, doc, strict=True):
-        if _kind(x, template) != _kind(y, template) or not _kind(x, template) and x != y:
-            return False
-        if there.setdefault(x, y) != y or back.setdefault(y, x) != x:
-            return False
-    return True
-
-
-def search(texts: list[str | None], index: Index, verbatim_only: bool, numbers: _Numbers, least_fixed: int = LEAST_FIXED) -> list[tuple[int, int, int, int]]:
-    """(text, item, verbatim windows, re-parameterised windows) for each text and item that share any."""
-    out: list[tuple[int, int, int, int]] = []
-    i = 0
-    while i < len(texts):
-        said, owner, j = [], [], i
-        while j < len(texts) and (j == i or len(said) < _SLICE_WORDS):
-            ws = words(texts[j])
-            said += ws
-            owner.append(np.full(len(ws), j))
-            j += 1
-        i = j
-        own = np.concatenate(owner)
-        key, exact = _keys(*numbers.of(said), least_fixed)
-        if not len(key) or not len(index.keys):
-            continue
-        lo = np.searchsorted(index.keys, key)
-        inside = own[: len(key)] == own[WINDOW - 1 :]
-        hit = np.flatnonzero(inside & (index.keys[lo.clip(max=len(index.keys) - 1)] == key))
-        hi = np.searchsorted(index.keys, key[hit], side="right")
-        n = hi - lo[hit]
-        pos = np.repeat(hit, n)
-        entry = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        if verbatim_only:
-            same = index.exact[entry] == exact[pos]
-            pos, entry = pos[same], entry[same]
-        # A window that is verbatim from one item is no other item with other parameters.
-        spoken = set(pos[index.exact[entry] == exact[pos]].tolist())
-        found: dict[tuple[int, int], list[int]] = {}
-        for p, e in zip(pos.tolist(), entry.tolist(), strict=True):
-            item, at = int(index.item[e]), int(index.at[e])
-            pair = found.setdefault((int(own[p]), item), [0, 0])
-            if verbatim_only and pair[0]:
+        return tuple(np.array(c, t)[at] for c, t in zip(self.rows, (np.uint64, np.uint64, bool, bool), strict=True))
+
+    def slices(self, texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, text of each word, places of windows, their keys), many texts at a time."""
+        i = 0
+        while i < len(texts):
+            said: list[str] = []
+            sizes, j = [], i
+            while j < len(texts) and (j == i or len(said) < _SLICE_WORDS):
+                ws = words(texts[j])
+                said += ws
+                sizes.append(len(ws))
+                j += 1
+            own = np.repeat(np.arange(i, j), sizes)
+            i = j
+            if len(said) < WINDOW:
                 continue
-            theirs, ours = index.item_words[item][at : at + WINDOW], said[p : p + WINDOW]
-            if theirs == ours:
-                pair[0] += 1
-            elif not verbatim_only and p not in spoken and _consistent(theirs, ours, index.template):
-                pair[1] += 1
-        out += [(t, k, a, b) for (t, k), (a, b) in found.items() if a or b]
+            exact, alone, stays, numeric = self._numbers(said)
+            follows = np.append(False, numeric[:-1]) & ~stays & ~numeric
+            canonical = windows(np.where(follows, np.uint64(_UNIT), alone), first=alone)
+            count = np.append(0, np.cumsum(stays))
+            key = np.where(count[WINDOW:] - count[:-WINDOW] >= self.least_fixed, canonical, windows(exact))
+            place = np.flatnonzero(own[: len(key)] == own[WINDOW - 1 :])
+            yield said, own, place, key[place]
+
+
+def _probes(keys: np.ndarray, n_bits: int) -> Iterator[np.ndarray]:
+    """Bits of each key in a filter of ``n_bits``, a power of two."""
+    step = (keys >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    for k in range(_PROBES):
+        yield (keys + np.uint64(k) * step) & np.uint64(n_bits - 1)
+
+
+def _passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the keys that a filter lets through."""
+    left = np.arange(len(keys))
+    for k in range(_PROBES):
+        bit = next(b for j, b in enumerate(_probes(keys[left], len(bits) * 64)) if j == k)
+        left = left[(bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return left
+
+
+def _partial_bits(keys: np.ndarray, n_bits: int) -> pa.RecordBatch:
+    """Words of the filter that some keys set bits in."""
+    bit = np.unique(np.concatenate(list(_probes(keys, n_bits)))) if len(keys) else np.empty(0, np.uint64)
+    at, first = np.unique(bit >> np.uint64(6), return_index=True)
+    word = np.bitwise_or.reduceat(np.uint64(1) << (bit & np.uint64(63)), first) if len(bit) else bit
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(word.view(np.int64))], ["at", "bits"])
+
+
+def _filter_bits(partial: DataFrame, n_bits: int) -> np.ndarray:
+    """The filter, from the parts that tasks made: of a fixed size, whatever went into it."""
+    out = np.zeros(n_bits >> 6, np.uint64)
+    got = partial.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return out
 
 
-def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([w for t in b.column(0).to_pylist() for w in set(words(t))], pa.string())], ["w"])
+def bits_for(n_keys: int, most_bits: int = MOST_BITS) -> int:
+    return min(most_bits, max(LEAST_BITS, 1 << (max(n_keys, 1) * BITS_A_KEY - 1).bit_length()))
 
 
-def template_words(items: DataFrame, text: str, template_items: int = TEMPLATE_ITEMS, most: int = MOST_TEMPLATE_WORDS) -> frozenset:
-    """Words that at least ``template_items`` items use: the vocabulary of the templates.
+def _word_keys(ws: list[str]) -> np.ndarray:
+    return np.fromiter(map(_h, ws), np.uint64, len(ws))
 
-    Only the ``most`` commonest come to the driver. Any set of words gives the same verbatim leaks, as both
-    sides are canonicalised alike; it only decides what counts as a name.
-    """
-    uses = items.select(text).mapInArrow(_item_words, "w string").groupBy("w").count()
-    return frozenset(r[0] for r in uses.where(F.col("count") >= template_items).orderBy(F.desc("count"), "w").limit(most).collect())
 
+def _counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Words with the number of texts they are in, only those that a filter lets through."""
+    n: Counter = Counter()
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple]]:
-    block, size = [], 0
-    for r in items.select(item_id, text).orderBy(item_id).toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1] or "")
-        if size >= block_chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+    def out() -> pa.RecordBatch:
+        ws = list(n)
+        if bits is not None and ws:
+            ws = [ws[k] for k in _passes(_word_keys(ws), bits)]
+        batch = pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array([n[w] for w in ws], pa.int64())], ["w", "n"])
+        n.clear()
+        return batch
+
+    for b in batches:
+        for t in b.column(0).to_pylist():
+            n.update(set(words(t)))
+        if len(n) > _KNOWN_MOST:
+            yield out()
+    yield out()
+
+
+def template_words(docs: DataFrame | None, text: str, items: DataFrame, item_text: str, one_in: int = ONE_IN, most_bits: int = MOST_BITS) -> frozenset:
+    """The items' words that are common in the items or in the documents; without documents, in the items."""
+    spark = items.sparkSession
+    counted = lambda df, c, run: df.select(c).mapInArrow(run, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    used = counted(items, item_text, _counted)
+    common = used.where(F.col("n") >= max(TEMPLATE_ITEMS, -(-items.count() // one_in)))
+    if docs is not None:
+        n_bits = bits_for(used.count(), most_bits)
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield _partial_bits(_word_keys(b.column(0).to_pylist()), n_bits)
+
+        sent = spark.sparkContext.broadcast(_filter_bits(used.select("w").mapInArrow(parts, "at int, bits bigint"), n_bits))
+        in_docs = counted(docs, text, lambda batches: _counted(batches, sent.value))
+        frequent = in_docs.where(F.col("n") >= max(2, -(-docs.count() // one_in)))
+        common = common.select("w").unionByName(frequent.join(used.select("w"), "w", "left_semi").select("w")).distinct()
+    return frozenset(r[0] for r in common.select("w").collect())
+
+
+def _scanned(canonical: Callable[[], Canonical], bits: Callable[[], np.ndarray | None]) -> Callable:
+    """Windows of texts with the digests of their template and of their words, only those that a filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, let = canonical(), bits()
+        for b in batches:
+            at, templates, exact = [], [], []
+            for said, owner, place, keys in own.slices(b.column(1).to_pylist()):
+                place = place if let is None else place[_passes(keys, let)]
+                at += owner[place].tolist()
+                for p in place.tolist():
+                    ws = said[p : p + WINDOW]
+                    templates.append(template_of(ws, own.fixed, own.least_fixed))
+                    exact.append(_digest(ws))
+            cols = [b.column(0).take(pa.array(at, pa.int32())), pa.array(templates, pa.binary()), pa.array(exact, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "template", "exact"])
+
+    return run
+
+
+def windows_of(
+    docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, fixed: frozenset, least_fixed: int = LEAST_FIXED, most_bits: int = MOST_BITS
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, template, exact) of the documents' windows that items may have, and (item_id, template, exact) of all of the items'."""
+    spark = docs.sparkSession
+    schema = lambda df, c: f"id {df.schema[c].dataType.simpleString()}, template binary, exact binary"
+    told = spark.sparkContext.broadcast((fixed, least_fixed))
+    canonical = lambda: Canonical(*told.value)
+    theirs = items.select(item_id, item_text).mapInArrow(_scanned(canonical, lambda: None), schema(items, item_id)).withColumnRenamed("id", "item_id")
+    n_bits = bits_for(theirs.count(), most_bits)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = canonical()
+        for b in batches:
+            yield _partial_bits(np.concatenate([np.empty(0, np.uint64), *(k for *_, k in own.slices(b.column(0).to_pylist()))]), n_bits)
+
+    sent = spark.sparkContext.broadcast(_filter_bits(items.select(item_text).mapInArrow(parts, "at int, bits bigint"), n_bits))
+    ours = docs.where(F.length(text) > 0).select(doc_id, text).mapInArrow(_scanned(canonical, lambda: sent.value), schema(docs, doc_id))
+    return ours.withColumnRenamed("id", "doc_id"), theirs
 
 
 def leaks(
-    docs: DataFrame,
-    items: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    verbatim_only: bool = True,
-    template_items: int = TEMPLATE_ITEMS,
-    block_chars: int = BLOCK_CHARS,
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_bits: int = MOST_BITS
 ) -> DataFrame:
-    """(doc_id, item_id, n_verbatim, n_templated) of each document and item that share a window.
+    """(doc_id, item_id) of each document and item that share a window of words.
 
-    With ``verbatim_only`` only the first verbatim window of a pair is established (n_verbatim is 1).
+    Windows meet by template, and their slots must hold the same values. What counts as a template word then changes
+    nothing but the templates themselves, so the items' own counts decide it.
     """
-    spark: SparkSession = docs.sparkSession
-    types = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"doc_id {types[0]}, item_id {types[1]}, n_verbatim int, n_templated int"
-    template = template_words(items, item_text, template_items)
-
-    def run_with(sent) -> object:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            numbers = _Numbers(index.template)
-            for b in batches:
-                rows = search(b.column(1).to_pylist(), index, verbatim_only, numbers)
-                t, k, a, r = zip(*rows, strict=True) if rows else ((), (), (), ())
-                cols = [b.column(0).take(pa.array(t, pa.int32())), pa.array([index.item_ids[x] for x in k], b_type), pa.array(a, pa.int32()), pa.array(r, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "n_verbatim", "n_templated"])
-
-        return run
-
-    b_type = pa.int64() if types[1] == "bigint" else pa.int32() if types[1] == "int" else pa.string()
-    found = [
-        docs.where(F.length(text) > 0).select(doc_id, text).mapInArrow(run_with(spark.sparkContext.broadcast(build_index(block, template))), schema)
-        for block in _blocks(items, item_id, item_text, block_chars)
-    ]
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+    fixed = template_words(None, text, items, item_text)
+    ours, theirs = windows_of(docs, items, doc_id, text, item_id, item_text, fixed, most_bits=most_bits)
+    return ours.distinct().join(theirs.distinct(), ["template", "exact"]).select("doc_id", "item_id").distinct()
+
+
+def templates(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    one_in: int = ONE_IN, least_fixed: int = LEAST_FIXED, most_bits: int = MOST_BITS,
+) -> tuple[DataFrame, DataFrame]:
+    """Documents with the templates they hold, and the items that have these.
+
+    Many items may share one template, so a document is not paired with each of them: (doc_id, template_id, n_windows,
+    n_verbatim) has one row for each document and template, named by the least item that has the window, with how many
+    windows of the document have it and how many of these with an item's own words; (template_id, item_id) tells
+    which items share windows with it.
+    """
+    fixed = template_words(docs, text, items, item_text, one_in, most_bits)
+    ours, theirs = windows_of(docs, items, doc_id, text, item_id, item_text, fixed, least_fixed, most_bits)
+    named = theirs.groupBy("template").agg(F.min("item_id").alias("template_id"))
+    spoken = theirs.select("template", "exact").distinct().withColumn("same", F.lit(True))
+    counted = ours.groupBy("doc_id", "template", "exact").agg(F.count("*").alias("n"))
+    met = counted.join(named, "template").join(spoken, ["template", "exact"], "left")
+    held = met.groupBy("doc_id", "template_id").agg(F.sum("n").alias("n_windows"), F.sum(F.when(F.col("same"), F.col("n")).otherwise(0)).alias("n_verbatim"))
+    return held, theirs.join(named, "template").select("template_id", "item_id").distinct()
 
 
 def by_item(found: DataFrame, items: DataFrame) -> DataFrame:

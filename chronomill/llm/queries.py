@@ -40,12 +40,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p9_templates(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that hold an item verbatim or with other numbers, units or names."""
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), verbatim_only=False)
+    """Documents that hold the template of items, with their own or other numbers, units and names."""
+    return leaks.templates(table(spark, d, "documents"), table(spark, d, "eval_items"))[0]
+
+
+def p9_members(spark: SparkSession, d: str) -> DataFrame:
+    """Items that share the templates of ``p9_templates``."""
+    return leaks.templates(table(spark, d, "documents"), table(spark, d, "eval_items"))[1]
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +73,7 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_templates": p9_templates,
+    "p9_members": p9_members,
     "p9_items": p9_items,
     "p10_found": p10_found,
     "p10_pieces": p10_pieces,
