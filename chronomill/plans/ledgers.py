@@ -50,6 +50,11 @@ def p3_history(spark: SparkSession, d: str) -> DataFrame:
     return history.versions(table(spark, d, "memory_records"), "id", "created_at", "ingest_seq", _attributes())
 
 
+def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """All rows the ledger ever told: periods of ticks as known over periods of arrival."""
+    return history.ledger(table(spark, d, "memory_records"), "id", "created_at", "ingest_seq", _attributes())
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_history(spark, d).select("id", "version_from", "version_to")
 
@@ -132,6 +137,7 @@ QUERIES = {
     "p2_periods": p2_periods,
     "p3_found": p3_found,
     "p3_history": p3_history,
+    "p3_ledger": p3_ledger,
     "p5_found": p5_found,
     "p5_paths": p5_paths,
     "p5_descendants": p5_descendants,
@@ -216,6 +222,16 @@ where (task_scope = 'global' or task_scope = task_id) and valid_from <= as_of an
 )
 select *, n_never + n_deleted + n_later as n_orphans,
   sum(n_never + n_deleted + n_later + n_reopened - n_resolved) over (partition by ref_field order by period)::bigint as n_waiting from counts""",
+    "p3_ledger": f"""
+with w as (select id, created_at as t, ingest_seq as q, valid_from, coalesce(valid_to, 999999999) as valid_to, {_key('supersedes')} as supersedes, lower(trim(status)) as status from memory_records),
+told as (
+  select id, q as w, t as a, (select min(b.t) from w b where b.id = x.id and b.t > x.t and b.q < x.q) as b, q as k from w x
+  union all
+  select x.id, (select arg_max(p.q, struct_pack(t := p.t, q := p.q)) from w p where p.id = x.id and p.t <= x.t and p.q < x.q) as w,
+    (select max(p.t) from w p where p.id = x.id and p.t <= x.t and p.q < x.q) as a, x.t as b, x.q as k from w x
+), closed as (select *, lead(k) over (partition by id, w order by k) as k2 from told where w is not null)
+select c.id, a as version_from, coalesce(b, 999999999) as version_to, k as recorded_from, k2 as recorded_to, valid_from, valid_to, supersedes, status
+from closed c join w on w.id = c.id and w.q = c.w where b is null or b > a""",
     "p3_found": _VERSIONS + " select id, version_from, version_to from v",
     "p6_found": f"""
 with e as (select distinct event_id, task_id, as_of, {_key('record_id')} as rid from episode_events),
