@@ -1,9 +1,10 @@
 """Attributes as known at event time: for each event the latest write of its entity that stood by then.
 
-Events and writes are co-grouped by entity, many entities to a group, and each group is solved by one
-vectorised binary search over (entity, recorded time, sequence). Entities with very many rows are cut into
-blocks of time: a block holds the entity's writes of that time and the one write that stood when it began,
-and the events of a block are dealt to several groups.
+Events and writes are co-grouped by entity and time: both go through one range partitioning on (entity, tick) and so
+meet in the same sorted run, where a vectorised binary search over (entity, tick, sequence) finds each event's
+write. Runs are cut by rows, so an entity with any part of all rows spreads over as many as it needs. Only the events
+before the first write of the run that an entity goes on in are open; they take the last write of that entity
+in the nearest run before, of which there is one for each run.
 
 Defined cases: an event without entity or time has no answer; entities are compared trimmed and in lower
 case; of writes at one tick the greatest sequence counts (a null one counts least); writes without a
@@ -12,17 +13,18 @@ recorded time never stand; events delivered twice come out once, events without
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronomill.common import hot_keys, in_keys, norm_key, shuffle_partitions
+from chronomill.common import cut, norm_key
+from chronomill.operators.runs import in_runs
 
-HOT_ROWS = 100_000
-BLOCK_TICKS = 10_000
-DEALS = 8
-GROUP_ROWS = 50_000
+WRITE, EVENT = 0, 1
+DONE, OPEN, LAST = "done", "open", "last"
 
 
 def latest_by(
@@ -43,24 +45,50 @@ def latest_by(
     return pos, np.zeros(len(ent_e), bool)
 
 
-def _solve(writes: pa.Table, events: pa.Table) -> pa.Table:
-    # Columns: group, entity, at, seq, <attributes> and group, entity, at, event_key, <event columns>.
-    n = writes.num_rows
-    both = pa.chunked_array(writes["_entity"].chunks + events["_entity"].chunks, pa.string()).combine_chunks()
-    codes = both.dictionary_encode().indices.to_numpy().astype(np.int64)
-    num = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
-    at, found = latest_by(codes[:n], num(writes, "_at"), num(writes, "_seq"), codes[n:], num(events, "_at"))
-    # Equal events meet in one group, so the first of each key is enough; events without a key all stay.
-    seen = events.column(3).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy().astype(np.int64)
-    seen = np.where(seen < 0, -1 - np.arange(len(seen)), seen)
-    first = np.unique(seen, return_index=True)[1]
-    keep = np.sort(first[found[first]])
-    left = events.drop_columns(["_group", "_entity", "_at"]).take(pa.array(keep))
-    right = writes.drop_columns(["_group", "_deal", "_entity"]).take(pa.array(at[keep]))
-    out = left
-    for c in right.column_names:
-        out = out.append_column({"_at": "_write_at", "_seq": "_write_seq"}.get(c, c), right[c])
-    return out
+def _solve(run: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns: _entity, _at, _kind, _seq, _key, _event, _write, in this order of rows."""
+
+    def row(kind: str, entity: pa.Array, event: pa.Array, at: pa.Array, seq: pa.Array, write: pa.Array) -> pa.RecordBatch:
+        n = len(entity)
+        cols = [pa.array(np.full(n, run, np.int64)), pa.array([kind] * n, pa.string()), entity, event, at, seq, write]
+        return pa.RecordBatch.from_arrays(cols, ["_run", "_what", "_entity", "_event", "_write_at", "_write_seq", "_write"])
+
+    stands: pa.RecordBatch | None = None  # the last write so far
+    before: tuple | None = None  # entity, tick and key of the last event so far
+    first: str | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        first = b.column("_entity")[0].as_py() if first is None else first
+        t = b if stands is None else pa.Table.from_batches([stands, b]).combine_chunks().to_batches()[0]
+        kind, at = t.column("_kind").to_numpy(), t.column("_at").to_numpy()
+        code = t.column("_entity").dictionary_encode().indices.to_numpy().astype(np.int64)
+        w, e = np.flatnonzero(kind == WRITE), np.flatnonzero(kind == EVENT)
+        # Deliveries of one event stand next to each other.
+        key = t.column("_key").take(pa.array(e))
+        named = key.is_valid().to_numpy(zero_copy_only=False)
+        no = key.dictionary_encode().indices.fill_null(-1).to_numpy()
+        again = np.append(False, (no[1:] == no[:-1]) & (code[e][1:] == code[e][:-1]) & (at[e][1:] == at[e][:-1])) & named if len(e) else np.zeros(0, bool)
+        if len(e):
+            this = (t.column("_entity")[int(e[0])].as_py(), int(at[e[0]]), key[0].as_py())
+            again[0] = this == before and named[0]
+            before = (t.column("_entity")[int(e[-1])].as_py(), int(at[e[-1]]), key[-1].as_py())
+        e = e[~again]
+        pos, found = latest_by(code[w], at[w], t.column("_seq").to_numpy()[w], code[e], at[e])
+        hit = w[pos[found]] if len(w) else pos[found]
+        if found.any():
+            pick = lambda c, i: t.column(c).take(pa.array(i))
+            yield row(DONE, pick("_entity", e[found]), pick("_event", e[found]), pick("_at", hit), pick("_seq", hit), pick("_write", hit))
+        left = pa.array(e[~found])
+        entity = t.column("_entity").take(left)
+        head = np.array([x == first for x in entity.to_pylist()], bool)
+        if head.any():
+            mine, none = pa.array(np.flatnonzero(head)), pa.nulls(int(head.sum()), pa.int64())
+            yield row(OPEN, entity.take(mine), t.column("_event").take(left).take(mine), none, none, pa.nulls(len(none), t.column("_write").type))
+        if len(w):
+            stands = t.slice(int(w[-1]), 1)
+    if stands is not None:
+        yield row(LAST, stands.column("_entity"), pa.nulls(1, stands.column("_event").type), stands.column("_at"), stands.column("_seq"), stands.column("_write"))
 
 
 def as_known(
@@ -74,60 +102,46 @@ def as_known(
     write_at: str,
     write_seq: str,
     attributes: dict[str, str],
-    hot_rows: int = HOT_ROWS,
-    block_ticks: int = BLOCK_TICKS,
-    deals: int = DEALS,
-    group_rows: int = GROUP_ROWS,
+    runs: int | None = None,
 ) -> DataFrame:
     """(event_key, *event_columns, *attributes, _write_at, _write_seq): each event with the write that stood.
 
     ``event_columns`` and ``attributes`` map output names to columns, so names that clash in the two tables
     stay apart. Events without a standing write give no row.
     """
-    spark = events.sparkSession
+    told = F.struct(F.col(event_key).alias(event_key), *[F.col(c).alias(k) for k, c in event_columns.items()])
+    held = F.struct(*[F.col(c).alias(k) for k, c in attributes.items()])
+    event_type, write_type = (df.select(c.alias("x")).schema["x"].dataType.simpleString() for df, c in ((events, told), (writes, held)))
     e = events.select(
-        F.col(event_key).alias(event_key),
         norm_key(event_entity).alias("_entity"),
         F.col(event_at).cast("bigint").alias("_at"),
-        *[F.col(c).alias(k) for k, c in event_columns.items()],
-    ).where("_entity is not null and _at is not null")
+        F.lit(EVENT).alias("_kind"),
+        F.lit(0).cast("bigint").alias("_seq"),
+        F.col(event_key).cast("string").alias("_key"),
+        told.alias("_event"),
+        F.lit(None).cast(write_type).alias("_write"),
+    )
     w = writes.select(
         norm_key(write_entity).alias("_entity"),
         F.col(write_at).cast("bigint").alias("_at"),
+        F.lit(WRITE).alias("_kind"),
         F.coalesce(F.col(write_seq).cast("bigint"), F.lit(-(2**62))).alias("_seq"),
-        *[F.col(c).alias(k) for k, c in attributes.items()],
-    ).where("_entity is not null and _at is not null")
-    hot = sorted({*hot_keys(e, "_entity", hot_rows), *hot_keys(w, "_entity", hot_rows)})
-    n_groups = max(4 * shuffle_partitions(spark), (events.count() + writes.count()) // group_rows)
-
-    hashed = F.pmod(F.xxhash64("_entity"), F.lit(n_groups)).cast("string")
-    block = F.floor(F.col("_at") / block_ticks).cast("bigint")
-    is_hot = in_keys("_entity", hot)
-    e = e.withColumn("_deal", F.when(is_hot, F.pmod(F.xxhash64(F.col(event_key)), F.lit(deals))).otherwise(F.lit(0)).cast("int"))
-    w_cold = w.where(~is_hot).withColumn("_group", hashed).withColumn("_deal", F.lit(0))
-    name = lambda b: F.concat_ws("/", "_entity", b.cast("string"), F.col("_deal").cast("string"))
-    e = e.withColumn("_group", F.when(is_hot, name(block)).otherwise(hashed)).drop("_deal")
-    if hot:
-        top = e.where(is_hot).agg(F.max(block)).first()[0]
-        w_hot = w.where(is_hot).withColumn("_block", block)
-        rest = [c for c in w_hot.columns if c not in ("_entity", "_block")]
-        # The last write of each block stands in all blocks up to the next one that has writes.
-        last = w_hot.groupBy("_entity", "_block").agg(F.max(F.struct(*rest)).alias("_row"))
-        following = F.coalesce(F.lead("_block").over(Window.partitionBy("_entity").orderBy("_block")), F.lit(top))
-        carried = (
-            last.withColumn("_to", following)
-            .where(F.col("_to") > F.col("_block"))
-            .select("_entity", "_row.*", F.explode(F.sequence(F.col("_block") + 1, "_to")).alias("_block"))
-        )
-        w_hot = w_hot.unionByName(carried).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-        w_cold = w_cold.unionByName(w_hot.withColumn("_group", name(F.col("_block"))).drop("_block"))
-    w, order = w_cold, ["_group", "_deal", "_entity", "_at", "_seq", *attributes]
-    w = w.select(*order)
-    e = e.select("_group", "_entity", "_at", event_key, *event_columns)
-    fields = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in e.drop("_group", "_entity", "_at").schema.fields
-    ) + ", _write_at bigint, _write_seq bigint, " + ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in w.select(*attributes).schema.fields
+        F.lit(None).cast("string").alias("_key"),
+        F.lit(None).cast(event_type).alias("_event"),
+        held.alias("_write"),
     )
-    joined = w.groupBy("_group").cogroup(e.groupBy("_group")).applyInArrow(_solve, fields)
-    return joined
+    both = e.unionByName(w).where("_entity is not null and _at is not null")
+    schema = f"_run bigint, _what string, _entity string, _event {event_type}, _write_at bigint, _write_seq bigint, _write {write_type}"
+    solved = cut(in_runs(both, ["_entity", "_at", "_kind", "_seq", "_key"], _solve, schema, runs))
+    # One row for each run: what stood at its end. Open events look back to the nearest run with a write of theirs.
+    what = ["_write_at", "_write_seq", "_write"]
+    marks = solved.where(F.col("_what") == LAST).select("_entity", "_run", F.struct(*what).alias("_w"))
+    asked = solved.where(F.col("_what") == OPEN).select("_entity", "_run").distinct()
+    back = Window.partitionBy("_entity").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    stood = asked.withColumn("_asked", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    # A run that asks may itself end with a later write of the entity.
+    by_run = stood.groupBy("_entity", "_run").agg(F.max("_asked").alias("_asked"), F.first("_w", ignorenulls=True).alias("_w"))
+    carried = by_run.withColumn("_before", F.last("_w", ignorenulls=True).over(back)).where("_asked and _before is not null")
+    opened = solved.where(F.col("_what") == OPEN).drop(*what).join(carried.select("_entity", "_run", "_before.*"), ["_entity", "_run"])
+    all_ = solved.where(F.col("_what") == DONE).select("_event", *what).unionByName(opened.select("_event", *what))
+    return all_.select("_event.*", "_write_at", "_write_seq", "_write.*")

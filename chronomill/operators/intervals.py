@@ -1,9 +1,10 @@
-"""Overlapping and gapped intervals: continuous periods per key and the gaps between them.
+"""Overlapping and gapped time intervals: continuous periods per key and the gaps between them.
 
-The aggregate is a list of sorted, disjoint intervals per key. It is mergeable: every scan partition folds
-its rows into partial lists, partial lists of a key are merged in a tree (first within slices of a key, then
-per key), and only the last level emits the periods and their complement. A hot key therefore shrinks to its
-disjoint intervals before it is ever brought together, and no level holds more than those.
+The aggregate is a list of sorted, disjoint intervals per key, mergeable by a linear merge. It is reduced in a tree:
+every scan task folds its rows into partial lists and hands them on whenever it holds ``HOLD_ROWS`` intervals; partial
+lists meet in sorted runs, where they are merged in one stream; and what a key's list begins and ends with in
+each run is merged last. Runs are cut by rows, so neither a key with a third of all rows nor one with any number of
+disjoint intervals is ever brought together, and no task holds more than a batch and its own partial lists.
 
 Defined cases: rows with a null or empty key, a null or infinite start, or an empty or reversed interval are
 left out; a null, NaN or infinite end is open; intervals that overlap or touch are one; repeated rows change
@@ -16,13 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronomill.common import cut
+from chronomill.operators.runs import in_runs
+
 OPEN = 2**62
-SLICES = 16
-HOLD_ROWS = 1_000_000
-_PARTIAL = "k string, starts array<bigint>, ends array<bigint>"
+HOLD_ROWS = 500_000
 
 
 def merge_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,67 +43,94 @@ def merge_runs(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return codes[at], starts[at], levels[high[last]]
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    keys, starts, ends = batch.column(0), batch.column(1), batch.column(2)
-    if pa.types.is_list(starts.type):
-        n = np.diff(starts.offsets.to_numpy())
-        return keys, np.repeat(np.arange(len(keys)), n), starts.flatten().to_numpy(), ends.flatten().to_numpy()
-    return keys, np.arange(len(keys)), starts.to_numpy(), ends.to_numpy()
-
-
-class _Lists:
-    """Disjoint interval lists of many keys; rows wait until there are enough of them to merge at once."""
-
-    def __init__(self) -> None:
-        self.code: dict[str, int] = {}
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.waiting = 0
-
-    def add(self, batch: pa.RecordBatch) -> None:
-        keys, at, starts, ends = _flat(batch)
-        seen = keys.dictionary_encode()
-        codes = np.array([self.code.setdefault(k, len(self.code)) for k in seen.dictionary.to_pylist()], np.int64)
-        self.parts.append((codes[seen.indices.to_numpy()][at], starts, ends))
-        self.waiting += len(at)
-        if self.waiting > HOLD_ROWS:
-            self.merge()
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not self.parts:
-            return (np.empty(0, np.int64),) * 3
-        self.parts = [merge_runs(*map(np.concatenate, zip(*self.parts, strict=True)))]
-        self.waiting = 0
-        return self.parts[0]
+def _codes(keys: pa.Array, known: dict[str, int]) -> np.ndarray:
+    seen = keys.dictionary_encode()
+    codes = np.array([known.setdefault(k, len(known)) for k in seen.dictionary.to_pylist()], np.int64)
+    return codes[seen.indices.to_numpy()]
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lists = _Lists()
-    for b in batches:
-        if b.num_rows:
-            lists.add(b)
-    codes, starts, ends = lists.merge()
-    if len(codes):
-        at = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(codes)).astype(np.int32)
-        names = np.array(list(lists.code), object)[codes[at[:-1]]]
-        cols = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (starts, ends)]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *cols], ["k", "starts", "ends"])
-
-
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _fold(batches):
-        keys, at, starts, ends = _flat(b)
-        yield _rows(keys, at, "period", starts, ends)
-        gap = np.flatnonzero(at[1:] == at[:-1])
-        yield _rows(keys, at[gap], "gap", ends[gap], starts[gap + 1])
+    """Partial lists of a scan task, one row for each interval."""
+    known: dict[str, int] = {}
+    parts: list[tuple[np.ndarray, ...]] = []
+    held = 0
 
+    def merged() -> tuple[np.ndarray, ...]:
+        return merge_runs(*map(np.concatenate, zip(*parts, strict=True)))
 
-def _rows(keys: pa.Array, at: np.ndarray, kind: str, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-    ends = np.where(ends >= OPEN, -1, ends)
-    cols = [keys.take(pa.array(at)), pa.array([kind] * len(at), pa.string()), pa.array(starts), pa.array(ends)]
-    return pa.RecordBatch.from_arrays(cols, ["k", "kind", "from_at", "to_at"])
+    def out(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        names = pa.array(list(known), pa.string()).take(pa.array(codes))
+        return pa.RecordBatch.from_arrays([names, pa.array(starts), pa.array(ends)], ["k", "s", "e"])
 
+    for b in batches:
+        if not b.num_rows:
+            continue
+        parts.append((_codes(b.column(0), known), b.column(1).to_numpy(), b.column(2).to_numpy()))
+        held += b.num_rows
+        if held > HOLD_ROWS:
+            parts = [merged()]
+            held = len(parts[0][0])
+            if held > HOLD_ROWS // 2:  # merging no longer shrinks them
+                yield out(*parts[0])
+                known, parts, held = {}, [], 0
+    if parts:
+        yield out(*merged())
+
+
+def _merge(run: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Disjoint intervals of a sorted run, each with the next start of its key; those of the run's first and last key marked."""
+    held: pa.RecordBatch | None = None  # the last interval so far, which may go on
+    first: str | None = None
+
+    def rows(keys: pa.Array, s: np.ndarray, e: np.ndarray, following: pa.Array, is_last: bool) -> pa.RecordBatch:
+        n = len(s)
+        edge = np.array([is_last or k == first for k in keys.to_pylist()], bool)
+        cols = [pa.array(np.full(n, run, np.int64)), keys, pa.array(s), pa.array(e), following, pa.array(edge)]
+        return pa.RecordBatch.from_arrays(cols, ["run", "k", "s", "e", "following", "edge"])
 
-def periods_and_gaps(df: DataFrame, key: str, start: str, end: str, scale: int = 1, slices: int = SLICES) -> DataFrame:
+    for b in batches:
+        if not b.num_rows:
+            continue
+        first = b.column(0)[0].as_py() if first is None else first
+        t = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        known: dict[str, int] = {}
+        code, s, e = merge_runs(_codes(t.column(0), known), t.column(1).to_numpy(), t.column(2).to_numpy())
+        keys = pa.array(list(known), pa.string()).take(pa.array(code))
+        n = len(s) - 1
+        if n:
+            yield rows(keys.slice(0, n), s[:n], e[:n], pa.array(s[1:], mask=code[1:] != code[:-1]), False)
+        held = pa.RecordBatch.from_arrays([keys.slice(n), pa.array(s[n:]), pa.array(e[n:])], ["k", "s", "e"])
+    if held is not None:
+        yield rows(held.column(0), held.column(1).to_numpy(), held.column(2).to_numpy(), pa.nulls(1, pa.int64()), True)
+
+
+def _stitched(lists: DataFrame) -> DataFrame:
+    """The lists of all runs with what goes on across their borders merged: (k, s, e, following)."""
+    edge = lists.where("edge")
+    # What each key of a border has in each of its runs, and how far earlier runs reach into it.
+    own = Window.partitionBy("k").orderBy("run")
+    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+    reach = edge.groupBy("k", "run").agg(F.max("e").alias("_top")).select("k", "run", F.max("_top").over(earlier).alias("_reach"))
+    held = edge.join(reach.where("_reach is not null"), ["k", "run"], "left").withColumn("_fresh", F.col("_reach").isNull() | (F.col("s") > F.col("_reach")))
+    held = cut(held)
+    # Up to the run that has the key's next period, what does not begin one only makes the last one longer.
+    parts = held.groupBy("k", "run").agg(F.max(F.when(~F.col("_fresh"), F.col("e"))).alias("_longer"), F.min(F.when(F.col("_fresh"), F.col("s"))).alias("_begin"))
+    begun = F.count("_begin").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = parts.select("*", begun.alias("_upto"), (begun - F.col("_begin").isNotNull().cast("int")).alias("_since"))
+    onward = parts.groupBy("k", F.col("_since").alias("_upto")).agg(F.max("_longer").alias("_longer"), F.min("_begin").alias("_next"))
+    last = parts.where("_begin is not null").select("k", "run", "_upto").join(onward, ["k", "_upto"], "left")
+    ends = held.where("_fresh").join(last.drop("_upto"), ["k", "run"], "left")
+    is_last = F.col("following").isNull()
+    return lists.where("not edge").select("k", "s", "e", "following").unionByName(
+        ends.select(
+            "k", "s",
+            F.when(is_last, F.greatest("e", "_longer")).otherwise(F.col("e")).alias("e"),
+            F.when(is_last, F.col("_next")).otherwise(F.col("following")).alias("following"),
+        )
+    )
+
+
+def periods_and_gaps(df: DataFrame, key: str, start: str, end: str, scale: int = 1, runs: int | None = None) -> DataFrame:
     """(key, kind, from_at, to_at): per key its 'period' rows and the 'gap' rows between them.
 
     Times are multiplied by ``scale`` and rounded to whole numbers; -1 is the open end.
@@ -115,10 +144,9 @@ def periods_and_gaps(df: DataFrame, key: str, start: str, end: str, scale: int =
         F.round(begin * scale).cast("bigint").alias("s"),
         F.when(until == inf, F.lit(OPEN)).otherwise(F.round(until * scale).cast("bigint")).alias("e"),
     )
-    partial = rows.mapInArrow(_fold, _PARTIAL)
-    sliced = partial.repartition("k", F.pmod(F.spark_partition_id(), F.lit(slices))).mapInArrow(_fold, _PARTIAL)
-    return (
-        sliced.repartition("k")
-        .mapInArrow(_emit, "k string, kind string, from_at bigint, to_at bigint")
-        .withColumnRenamed("k", key)
-    )
+    partial = rows.mapInArrow(_fold, "k string, s bigint, e bigint")
+    lists = cut(in_runs(partial, ["k", "s", "e"], _merge, "run bigint, k string, s bigint, e bigint, following bigint, edge boolean", runs))
+    row = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("from_at"), F.when(b >= OPEN, -1).otherwise(b).alias("to_at"))
+    s, e, following = F.col("s"), F.col("e"), F.col("following")
+    both = F.array(row("period", s, e), F.when(following.isNotNull(), row("gap", e, following)))
+    return _stitched(lists).select(F.col("k").alias(key), F.explode(F.filter(both, lambda x: x.isNotNull())).alias("_r")).select(key, "_r.*")

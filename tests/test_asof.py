@@ -32,15 +32,22 @@ def brute(events, writes):
 
 
 @pytest.mark.parametrize("seed", range(2))
-@pytest.mark.parametrize("hot_rows", [10**9, 20])
-def test_against_brute_force(spark, seed, hot_rows):
+@pytest.mark.parametrize("runs", [1, 15])
+def test_against_brute_force(spark, seed, runs):
     rng = random.Random(seed)
     ids = ["hot"] * 5 + [f"r{k}" for k in range(9)]
     writes = [(n, rng.choice(ids), rng.choice([rng.randint(0, 100), rng.randint(0, 100), None]), rng.choice(["g", None]), "t") for n in range(120)]
     noisy = lambda k: rng.choice([k, f" {k.upper()} ", None, "", "unknown"])
     events = [(n, noisy(rng.choice(ids)), rng.choice([rng.randint(-5, 130), None]) if n % 9 == 0 else rng.randint(-5, 130), "t", "c", "c") for n in range(150)]
     events += events[:30]
-    assert run(spark, events, writes, hot_rows=hot_rows, block_ticks=11, deals=3) == brute(events, writes)
+    assert run(spark, events, writes, runs=runs) == brute(events, writes)
+
+
+def test_one_entity_over_many_runs(spark):
+    """Few writes and very many events, most of them in runs without a write."""
+    writes = [(n, "hot", t, f"g{n}", "t") for n, t in enumerate((500, 100, 500, 2900))]
+    events = [(n, "hot", n, "t", "", "") for n in range(3000)]
+    assert run(spark, events, writes, runs=20) == brute(events, writes)
 
 
 def test_empty_sides_and_null_keys(spark):

@@ -43,8 +43,15 @@ def test_against_brute_force(spark, seed):
         f = rng.choice([None, -INF]) if rng.random() < 0.05 else rng.randint(0, 800) / 4
         rows.append((rng.choice(["hot", "hot", "a", "b", "", None]), f, end(f if f and f > -INF else 0), "x", "y"))
     rows += rows[:50]
-    for parts in (1, 7):
-        assert run(spark.createDataFrame(rows, SCHEMA).repartition(parts), slices=3) == brute(rows)
+    for parts, runs in ((1, 1), (7, 15)):
+        assert run(spark.createDataFrame(rows, SCHEMA).repartition(parts), runs=runs) == brute(rows)
+
+
+def test_one_key_over_many_runs(spark):
+    """Disjoint intervals, with long ones that reach over several runs and one without an end."""
+    rows = [("hot", float(2 * k), float(2 * k + 1), "", "") for k in range(-20, 2000)] + [("hot", 100.0, 1500.5, "", ""), ("hot", 2000.0, 2002.0, "", ""), ("a", 1.0, 2.0, "", ""), ("z", 1.0, 2.0, "", "")]
+    for more in ([], [("hot", 3001.5, None, "", "")]):
+        assert run(spark.createDataFrame(rows + more, SCHEMA).repartition(4), runs=12) == brute(rows + more)
 
 
 def test_touching_nested_and_empty(spark):
