@@ -2,31 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronomill.common import OPEN_END, WHITE_SPACE, cut, norm_key, table
 from chronomill.operators import asof, hierarchy, history, intervals, references
 
 
-def journal(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """References and target rows of all tables."""
-    records, v1, evidence = (table(spark, d, t) for t in ("memory_records", "memory_records_v1", "evidence"))
-    refs = (
-        references.array_refs(records, "evidence_ids", "evidence", "evidence_ids", "ingest_seq", "created_at")
-        .unionByName(references.scalar_refs(records, "supersedes", "record", "supersedes", "ingest_seq", "created_at"))
-        .unionByName(references.array_refs(v1, "depends_on", "record_v1", "depends_on", "ingest_seq", "observed_at"))
-    )
-    parents = (
-        references.parent_rows(evidence, "evidence", "evidence_id", "recorded_at", "deleted_at")
-        .unionByName(references.parent_rows(records, "record", "id", "created_at"))
-        .unionByName(references.parent_rows(v1, "record_v1", "memory_id", "observed_at"))
-    )
-    return refs, parents
+BATCHES = 2
+
+
+def _entry(field: str | None, kind: str, key: Column) -> Column:
+    return F.struct(F.lit(field).cast("string").alias("ref_field"), F.lit(kind).alias("kind"), key.alias("ref_key"), F.lit(field is None).alias("is_parent"))
+
 
+def _referring(field: str, kind: str) -> Callable[[Column], Column]:
+    return lambda key: _entry(field, kind, key)
 
-def orphan_state(spark: SparkSession, d: str) -> references.OrphanState:
-    return references.advance(None, *journal(spark, d))
+
+def _arrivals(df: DataFrame, seq: str, at: str, gone: str | None, parent: tuple[str, str], refs: list[tuple[str, str, str]]) -> DataFrame:
+    """Targets and references of a table from one scan, a row for each. ``parent``: kind and key; ``refs``: field, kind, column."""
+    parts = [F.array(_entry(None, parent[0], norm_key(parent[1])))]
+    for field, kind, column in refs:
+        several = df.schema[column].dataType.typeName() == "array"
+        keys = F.coalesce(F.array_distinct(F.transform(column, norm_key)), F.array().cast("array<string>")) if several else F.array(norm_key(column))
+        parts.append(F.transform(keys, _referring(field, kind)))
+    rows = df.select(
+        F.col(seq).alias("ingest_seq"), F.col(at).cast("double").alias("ref_at"), (F.col(gone) if gone else F.lit(None)).cast("double").alias("gone_at"),
+        F.explode(F.concat(*parts)).alias("_e"),
+    )
+    return rows.select("ingest_seq", "ref_at", "gone_at", "_e.*").where("ref_key is not null and (is_parent or ref_at is not null)")
+
+
+def arrivals(spark: SparkSession, d: str, n_batches: int) -> DataFrame:
+    """References and target rows of all tables with the number of the batch they arrive in.
+
+    Journals arrive in the order of ``ingest_seq``. Evidence has no sequence: a row arrives at the latest tick it tells
+    of. Batches are equal spans of either.
+    """
+    records, v1, evidence = (table(spark, d, t) for t in ("memory_records", "memory_records_v1", "evidence"))
+    told = F.greatest("recorded_at", "deleted_at")
+    evidence = evidence.withColumn("_told", told)
+    sources = [
+        _arrivals(records, "ingest_seq", "created_at", None, ("record", "id"), [("evidence_ids", "evidence", "evidence_ids"), ("supersedes", "record", "supersedes")]),
+        _arrivals(v1, "ingest_seq", "observed_at", None, ("record_v1", "memory_id"), [("depends_on", "record_v1", "depends_on")]),
+        _arrivals(evidence, "_told", "recorded_at", "deleted_at", ("evidence", "evidence_id"), []),
+    ]
+    ends = [df.select(F.lit(k).alias("k"), F.col(c).cast("double").alias("c")) for k, (df, c) in enumerate(((records, "ingest_seq"), (v1, "ingest_seq"), (evidence, "_told")))]
+    spans = {r.k: (r.lo or 0.0, (r.hi or 0.0) + 1.0) for r in reduce(DataFrame.unionByName, ends).groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).collect()}
+    numbered = []
+    for k, rows in enumerate(sources):
+        lo, hi = spans.get(k, (0.0, 1.0))
+        share = (F.coalesce(F.col("ingest_seq").cast("double"), F.lit(lo)) - lo) / (hi - lo)
+        numbered.append(rows.withColumn("batch", F.floor(share * n_batches).cast("int")))
+    return reduce(DataFrame.unionByName, numbered)
+
+
+def orphan_state(spark: SparkSession, d: str, n_batches: int = BATCHES) -> references.OrphanState:
+    log = cut(arrivals(spark, d, n_batches))
+    parents = log.where("is_parent").select("batch", "kind", F.col("ref_key").alias("key"), F.col("ref_at").alias("first_at"), "gone_at")
+    return references.replay(log.where("not is_parent").select("batch", *references.REF), parents, "batch", n_batches)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -119,16 +157,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def orphans_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """Orphans with the state advanced by one batch per 25,000 ticks instead of once for the whole journal."""
-    refs, parents = journal(spark, d)
-    state = None
-    step = lambda c: F.floor(F.coalesce(F.col(c), F.lit(0.0)) / 25_000)
-    last = parents.agg(F.max(step("first_at"))).first()[0] or 0
-    for k in range(int(last) + 1):
-        here = lambda c, k=k: step(c) == k if k < last else step(c) >= k
-        state = references.advance(state, refs.where(here("ref_at")), parents.where(here("first_at")))
-        state = references.OrphanState(cut(state.parents), cut(state.watched))
-    return state.orphans().select("ref_field", "ingest_seq", "ref_key")
+    """Orphans from a state that is advanced in more and smaller batches."""
+    return orphan_state(spark, d, 2 * BATCHES).orphans().select("ref_field", "ingest_seq", "ref_key")
 
 
 QUERIES = {

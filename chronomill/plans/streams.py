@@ -27,7 +27,7 @@ def stream_orphans(spark: SparkSession, d: str) -> DataFrame:
     refs = lambda b: references.scalar_refs(b, "supersedes", "record", "supersedes", "ingest_seq", "created_at")
     parents = lambda b: references.parent_rows(b, "record", "id", "created_at")
     state = journal.orphan_state(spark, refs, parents).run(_stream(spark, d, "memory_records"))
-    return references.OrphanState(state["parents"], state["watched"]).orphans().select("ref_field", "ingest_seq", "ref_key")
+    return journal.orphans_of(state).orphans().select("ref_field", "ingest_seq", "ref_key")
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:

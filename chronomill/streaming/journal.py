@@ -2,7 +2,8 @@
 
 A micro-batch is folded into the state by the same functions that take a whole journal at once. State tables
 are written to the shared folder, one version per batch; a batch that is run again after a failure writes the
-same version again, so states are exact across restarts.
+same version again, so states are exact across restarts. A table that is only added to holds in each version what the
+batch added; of the others the last two versions are kept.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronomill.common import shared_folder
+from chronomill.common import cut, shared_folder
 from chronomill.operators import references, store
 
 
@@ -30,13 +31,16 @@ def log_stream(spark: SparkSession, path: str, schema: T.StructType, form: str =
 class FoldedState:
     """Versions of state tables in a folder; ``step`` makes the next version from the last and a batch."""
 
-    def __init__(self, spark: SparkSession, step: Callable[[dict[str, DataFrame] | None, DataFrame], dict[str, DataFrame]], folder: str | None = None) -> None:
-        self.spark, self.step = spark, step
+    def __init__(self, spark: SparkSession, step: Callable[[dict[str, DataFrame] | None, DataFrame], dict[str, DataFrame]], folder: str | None = None, added: tuple[str, ...] = ()) -> None:
+        self.spark, self.step, self.added = spark, step, added
         self.folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
-    def _listed(self, path: str) -> list[str]:
+    def _path(self, path: str) -> tuple:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _listed(self, path: str) -> list[str]:
+        fs, at = self._path(path)
         return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
 
     @property
@@ -46,11 +50,18 @@ class FoldedState:
 
     def read(self, version: int | None = None) -> dict[str, DataFrame] | None:
         v = self.version if version is None else version
-        return {n: self.spark.read.parquet(f"{self.folder}/v{v}/{n}") for n in self._listed(f"{self.folder}/v{v}")} if v >= 0 else None
+        if v < 0:
+            return None
+        names = self._listed(f"{self.folder}/v{v}")
+        return {n: self.spark.read.parquet(*[f"{self.folder}/v{k}/{n}" for k in range(0 if n in self.added else v, v + 1)]) for n in names}
 
     def fold(self, batch: DataFrame, batch_id: int) -> None:
-        for name, df in self.step(self.read(batch_id - 1), batch).items():
+        tables = self.step(self.read(batch_id - 1), batch)
+        for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}/{name}")
+        for name in set(tables).difference(self.added) if batch_id > 1 else ():
+            fs, at = self._path(f"{self.folder}/v{batch_id - 2}/{name}")
+            fs.delete(at, True)
 
     def run(self, stream: DataFrame) -> dict[str, DataFrame] | None:
         """Take in everything that is there now, and give the state."""
@@ -77,11 +88,16 @@ def orphan_state(spark: SparkSession, refs_of: Callable[[DataFrame], DataFrame],
     """Pending orphans from a stream of rows that hold references and are themselves targets."""
 
     def step(state: dict[str, DataFrame] | None, batch: DataFrame) -> dict[str, DataFrame]:
-        old = state and references.OrphanState(state["parents"], state["watched"])
-        new = references.advance(old, refs_of(batch), parents_of(batch))
-        return {"parents": new.parents, "watched": new.watched}
+        old = orphans_of(state) if state else None
+        parents, moved = references.step(old, refs_of(batch), parents_of(batch))
+        moved = cut(moved)
+        return {"parents": parents, "pending": moved.where("status = 'pending'").select(*references.REF), "log": moved.where("status <> 'pending'")}
 
-    return FoldedState(spark, step, folder)
+    return FoldedState(spark, step, folder, added=("log",))
+
+
+def orphans_of(state: dict[str, DataFrame]) -> references.OrphanState:
+    return references.OrphanState(state["parents"], state["pending"], state["log"])
 
 
 def windowed(events: DataFrame, at: str, by: list[str], value: str, width: str = "1 day", late: str = "2 days") -> DataFrame:

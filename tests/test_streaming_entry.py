@@ -38,11 +38,13 @@ def test_orphan_stream_is_the_batch(spark, tmp_path):
     refs = lambda b: references.scalar_refs(b, "supersedes", "record", "supersedes", "ingest_seq", "created_at")
     parents = lambda b: references.parent_rows(b, "record", "id", "created_at")
     stream = journal.log_stream(spark, str(tmp_path / "log"), spark.createDataFrame([], W).schema, files_per_batch=1)
-    s = journal.orphan_state(spark, refs, parents).run(stream)
+    s = journal.orphan_state(spark, refs, parents, str(tmp_path / "state")).run(stream)
     all_ = spark.createDataFrame(rows, W)
     want = references.advance(None, refs(all_), parents(all_)).orphans()
     pick = lambda d: sorted(map(tuple, d.select("ingest_seq", "ref_key").collect()))
-    assert pick(references.OrphanState(s["parents"], s["watched"]).orphans()) == pick(want)
+    # The last two versions of what is replaced, every version of what is only added to.
+    assert [sorted(p.name for p in tmp.iterdir()) for tmp in (tmp_path / "state" / f"v{k}" for k in range(3))] == [["log"], ["log", "parents", "pending"], ["log", "parents", "pending"]]
+    assert pick(journal.orphans_of(s).orphans()) == pick(want)
 
 
 def test_entry(spark):
