@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronomill.common import cut
 from chronomill.functions import text as tx
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -74,6 +75,19 @@ def _warns(node: ast.AST) -> bool:
     return any("warn" in n.lower() or "deprecated" in n.lower() for n in names)
 
 
+def signature(args: ast.arguments) -> str:
+    """Parameters in order with their kinds and defaults, without types."""
+    plain = [*args.posonlyargs, *args.args]
+    defaults = [None] * (len(plain) - len(args.defaults)) + args.defaults
+    shown = lambda a, d: a.arg if d is None else f"{a.arg}={ast.unparse(d)}"
+    out = [shown(a, d) for a, d in zip(plain, defaults, strict=True)]
+    if args.posonlyargs:
+        out.insert(len(args.posonlyargs), "/")
+    out += [f"*{args.vararg.arg}"] if args.vararg else ["*"] if args.kwonlyargs else []
+    out += [shown(a, d) for a, d in zip(args.kwonlyargs, args.kw_defaults, strict=True)]
+    return ", ".join([*out, *([f"**{args.kwarg.arg}"] if args.kwarg else [])])
+
+
 def definitions(source: str | None) -> list[tuple]:
     """(qualified_name, kind, signature, deprecated, lineno) of everything a source defines, at any depth.
 
@@ -92,8 +106,7 @@ def definitions(source: str | None) -> list[tuple]:
                     out.append((inner, "class", None, told, kid.lineno))
                 else:
                     args = kid.args
-                    sig = ",".join(a.arg for a in args.args) + "|" + ",".join(a.arg for a in args.kwonlyargs)
-                    out.append((inner, "function", sig, told or _warns(kid), kid.lineno))
+                    out.append((inner, "function", signature(args), told or _warns(kid), kid.lineno))
                     for a in (*args.posonlyargs, *args.args, *args.kwonlyargs):
                         out.append((f"{inner}.{a.arg}", "parameter", None, False, kid.lineno))
                     if kid.name == "__getattr__":
@@ -126,13 +139,18 @@ def _chain(node: ast.AST) -> list[str]:
 _IMPORT_LINE = re.compile(r"^\s*(?:from\s+(\S+)\s+import\s+(.*)|import\s+(.*))$", re.MULTILINE)
 
 
+_ASSIGN_LINE = re.compile(r"^\s*([\w.]+)\s*=(?!=)", re.MULTILINE)
+_SUBSCRIPT = re.compile(r"""\[['"]([^'"\n]*)['"]\]""")
+
+
 def facts(source: str | None) -> list[tuple]:
     """(kind, name, value, lineno) of what a source imports, uses and says.
 
     import: full dotted name. use: dotted name with import aliases resolved. raw: attribute chain as written.
     lookup: object and name of a ``getattr`` with a literal name. keyword: argument name, its literal as value
-    (``<empty>`` for an empty collection). text: a comment or docstring. A source that does not parse gives
-    imports of its import lines, and comments.
+    (``<empty>`` for an empty collection). name, define: a name that is read, written or defined. literal: a constant
+    that is no docstring, as value. text: a comment or docstring. A source that does not parse gives imports of its
+    import lines, names that its lines assign, literals of its subscripts, and comments.
     """
     source = source or ""
     tree = parse(source)
@@ -141,6 +159,7 @@ def facts(source: str | None) -> list[tuple]:
         for m in _IMPORT_LINE.finditer(source):
             names = [x.split(" as ")[0].strip(" ()\\\r") for x in (m[2] or m[3]).split(",")]
             out += [("import", f"{m[1]}.{n}" if m[1] else n, None, 0) for n in names if n]
+        out += [("name", m[1], None, 0) for m in _ASSIGN_LINE.finditer(source)] + [("literal", None, m[1], 0) for m in _SUBSCRIPT.finditer(source)]
         return out + [("text", None, x, k) for k, x in enumerate(source.split("\n"), 1) if x.strip().startswith("#")]
     alias: dict[str, str] = {}
     own = {n.name for n in ast.walk(tree) if isinstance(n, (*_FUNCTIONS, ast.ClassDef))}
@@ -149,12 +168,21 @@ def facts(source: str | None) -> list[tuple]:
             for a in n.names:
                 out.append(("import", a.name, None, n.lineno))
                 alias[a.asname or a.name] = a.name
+                out += [("name", a.asname, None, n.lineno)] if a.asname else []
         elif isinstance(n, ast.ImportFrom):
             for a in n.names:
                 full = f"{n.module}.{a.name}" if n.module else a.name
                 out.append(("import", full, None, n.lineno))
                 alias[a.asname or a.name] = full
+                out += [("name", a.asname, None, n.lineno)] if a.asname else []
+    told = {id(n.body[0].value) for n in ast.walk(tree) if isinstance(n, (ast.Module, *_FUNCTIONS, ast.ClassDef)) and n.body and isinstance(n.body[0], ast.Expr)}
     for n in ast.walk(tree):
+        if isinstance(n, (*_FUNCTIONS, ast.ClassDef)):
+            out.append(("define", n.name, None, n.lineno))
+        elif isinstance(n, ast.Name):
+            out.append(("name", n.id, None, n.lineno))
+        elif isinstance(n, ast.Constant) and not (id(n) in told and isinstance(n.value, str)):
+            out.append(("literal", None, str(n.value), n.lineno))
         if isinstance(n, (ast.Attribute, ast.Name)):
             parts = _chain(n)
             if isinstance(n, ast.Attribute):
@@ -271,7 +299,8 @@ def deprecated_use(snippets: DataFrame, key: str, source: str, symbols: str, key
     through an alias, an attribute chain or a literal ``getattr``; a plain one as attribute or import only
     where no dotted names are given, and as keyword or in ``getattr`` always. Own definitions hide imports.
     """
-    f = source_facts(snippets, key, source)
+    # The facts are asked three times and parsed once.
+    f = cut(source_facts(snippets, key, source))
     named = snippets.select(key, F.explode(F.transform(F.array_distinct(symbols), lambda s: F.trim(s))).alias("symbol")).where("symbol <> ''")
     dotted = F.contains("symbol", F.lit("."))
     any_dotted = named.groupBy(key).agg(F.bool_or(dotted).alias("_any"))
@@ -279,7 +308,7 @@ def deprecated_use(snippets: DataFrame, key: str, source: str, symbols: str, key
     short = lambda c: F.element_at(F.split(c, r"\."), -1)
     parts = F.slice(F.split("symbol", r"\."), 1, F.greatest(F.size(F.split("symbol", r"\.")) - 1, F.lit(0)))
     module = F.regexp_replace("name", r"\.?[^.]*$", "")
-    j = f.where("kind <> 'text'").withColumn("_short", F.when(F.col("kind") == "keyword", F.col("name")).otherwise(short("name"))).join(named, [key, "_short"])
+    j = f.where("kind in ('import', 'use', 'raw', 'lookup', 'keyword')").withColumn("_short", F.when(F.col("kind") == "keyword", F.col("name")).otherwise(short("name"))).join(named, [key, "_short"])
     kind = F.col("kind")
     hit = F.when(dotted, (F.col("name") == F.col("symbol")) & kind.isin("import", "use", "raw", "lookup") | (kind == "import") & F.exists(parts, lambda p: F.contains(module, p))).otherwise(
         kind.isin("keyword", "lookup") | kind.isin("raw", "import") & ~F.col("_any")
@@ -299,6 +328,29 @@ def deprecated_use(snippets: DataFrame, key: str, source: str, symbols: str, key
     )
 
 
+def stale_names(snippets: DataFrame, key: str, source: str, symbols: str) -> DataFrame:
+    """(key, active, mention, n_active): whether each snippet acts on any of some names, however it is written.
+
+    Names count as given and by their last part: imported (also under another name), read, written, defined, as
+    attribute or keyword, and as a literal that is the name or, from three characters on, holds it (subscripts and
+    comparisons included). Comments and docstrings only mention them.
+    """
+    f = cut(source_facts(snippets, key, source).where("kind not in ('use', 'lookup')"))
+    given = snippets.select(key, F.explode(symbols).alias("s")).where("s is not null")
+    last = F.element_at(F.split("s", r"\."), -1)
+    named = given.select(key, F.explode(F.array_distinct(F.array("s", last))).alias("symbol")).where("symbol <> ''").distinct()
+    short = F.when(F.col("kind") == "raw", F.col("value")).when(F.col("kind") == "import", F.element_at(F.split("name", r"\."), -1)).otherwise(F.col("name"))
+    written = f.where("kind not in ('literal', 'text')").select(key, "lineno", "kind", F.explode(F.array_distinct(F.array(short, "name"))).alias("symbol"))
+    by_name = written.join(named, [key, "symbol"]).select(key, "lineno", "kind", "symbol")
+    holds = (F.col("value") == F.col("symbol")) | (F.length("symbol") >= 3) & F.contains("value", "symbol")
+    said = f.where("kind in ('literal', 'text')").join(named, key).where(F.when(F.col("kind") == "text", F.contains("value", "symbol")).otherwise(holds))
+    by_literal = said.where("kind = 'literal'").select(key, "lineno", "kind", "symbol")
+    n = by_name.unionByName(by_literal).distinct().groupBy(key).agg(F.count("*").alias("n_active"))
+    mention = said.where("kind = 'text'").select(key, F.lit(True).alias("mention")).distinct()
+    j = snippets.select(key).join(n, key, "left").join(mention, key, "left")
+    return j.select(key, (F.coalesce("n_active", F.lit(0)) > 0).alias("active"), F.coalesce("mention", F.lit(False)).alias("mention"), F.coalesce("n_active", F.lit(0)).alias("n_active"))
+
+
 def solution_overlap(contexts: DataFrame, solutions: DataFrame, key: str) -> DataFrame:
     """(key, near_solution): whether a context holds the body of any function of the key's solution."""
     b = function_bodies(solutions, key, "solution")

@@ -232,7 +232,14 @@ ORACLES = {
 select link, id as memory_id, least as root_id, -1::bigint as depth from cyc
 union select w.link, w.child, c.least, -1 from walk w join cyc c on c.link = w.link and c.id = w.at
 union select w.link, w.child, w.at, w.depth from walk w where (w.link, w.at) not in (select (link, id) from cyc) and (w.link, w.at) not in (select (link, child) from e)""",
-    "p5_descendants": _WALKS + " select distinct link, walk.at as memory_id, child as descendant_id from walk",
+    "p5_descendants": _WALKS + " select distinct link, parent as memory_id, child as descendant_id from reach where child <> parent",
+    "p5_paths": _WALKS + """, way as (
+  select link, child, child as at, 0::bigint as depth, [child] as path from e union
+  select w.link, w.child, e.parent, w.depth + 1, list_append(w.path, e.parent) from way w join e on e.link = w.link and e.child = w.at where (w.link, w.at) not in (select (link, id) from cyc)
+), ends as (
+  select w.link, w.child, c.least as root, -1::bigint as depth, true as is_cyclic, w.path from way w join cyc c on c.link = w.link and c.id = w.at
+  union all select way.link, way.child, way.at, way.depth, false, way.path from way where way.depth > 0 and (way.link, way.at) not in (select (link, id) from cyc) and (way.link, way.at) not in (select (link, child) from e)
+) select link, child as memory_id, root as root_id, depth, is_cyclic, array_to_string(list_reverse(min(path)), ' > ') as path from ends group by all""".replace("group by all", "group by link, child, root, depth, is_cyclic"),
     "p6_attributes": f"""
 with e as (select distinct event_id, task_id, as_of, {_key('record_id')} as rid from episode_events),
 w as (select * from memory_records qualify row_number() over (partition by id, created_at order by ingest_seq desc) = 1)

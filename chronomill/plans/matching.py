@@ -146,6 +146,13 @@ def deprecated_use(spark: SparkSession, d: str) -> DataFrame:
     return code.deprecated_use(s, "file_key", "content", "names")
 
 
+def stale_names(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that act on a task's stale names in any way, or only mention them."""
+    t = tasks(spark, d).select("task_id", "stale_patterns")
+    s = _tree(spark, d, "initial_workspace").where("endswith(path, '.py')").join(t, "task_id").withColumn("file_key", F.concat_ws("#", "task_id", "path"))
+    return code.stale_names(s, "file_key", "content", "stale_patterns")
+
+
 def solution_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Whether the transition already holds a whole function body of the initial workspace, per file."""
     both = _tree(spark, d, "initial_workspace").alias("a").join(_tree(spark, d, "workspace_transition").alias("b"), ["task_id", "path"]).where("endswith(path, '.py')")
@@ -164,7 +171,7 @@ QUERIES = {
     k: globals()[k]
     for k in (
         "join_inner", "join_default", "join_adjudicated", "join_semi", "join_anti", "tree_difference", "join_dependants", "join_substring", "field_differences",
-        "evidence_status", "first_seen", "overlay_records", "set_operations", "api_changes", "symbol_resolution", "deprecated_use", "solution_overlap", "symbol_table_digests",
+        "evidence_status", "first_seen", "overlay_records", "set_operations", "api_changes", "symbol_resolution", "deprecated_use", "stale_names", "solution_overlap", "symbol_table_digests",
     )
 }
 

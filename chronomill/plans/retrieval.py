@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronomill.common import table
+from chronomill.functions import code
 from chronomill.functions import text as tx
 from chronomill.operators import retrieval as ret
 from chronomill.operators import store
 from chronomill.plans import sql
-from chronomill.plans.store import legacy_state, v1_records
+from chronomill.plans.store import _WORKSPACE, _files, legacy_state, v1_records
 
 # The literal queries that the named plans ask.
 QUESTION, ROLE, TICK, SCOPE = "Do not route the schedule: the policy lock of the queue is already held.", "coder", 60_000, "task_shared_release_train"
+HASH = "e06a91c6"
 CODE_QUESTION = "return the ordered queue of the bundle items"
 TERMS = ret.store_terms(QUESTION)
 
@@ -53,20 +55,28 @@ def b5_superseded(spark: SparkSession, d: str) -> DataFrame:
     return _pick(ret.retrieve(store.propagated(v1_records(spark, d)), QUESTION, ROLE, TICK, 10, use_role_bonus=False))
 
 
-def retrieve_full(spark: SparkSession, d: str) -> DataFrame:
+def retrieve_superseded(spark: SparkSession, d: str) -> DataFrame:
     """Direct supersession, validity, BM25, role bonus, top ten."""
     return _pick(ret.retrieve(store.superseded(v1_records(spark, d)), QUESTION, ROLE, TICK, 10))
 
 
-def retrieve_full_propagated(spark: SparkSession, d: str) -> DataFrame:
-    from chronomill.functions import code
-    from chronomill.plans.store import _files
-
+def retrieve_full(spark: SparkSession, d: str) -> DataFrame:
+    """Supersession with its propagation, symbol digests of the workspace (a missing file is no valid one), validity, BM25, role bonus, top ten."""
     files = _files(spark, d)
     r = store.symbol_valid(store.propagated(v1_records(spark, d)), files, code.symbol_digests(files, "path", "content"))
-    # Records of paths that no workspace has are judged by time and status alone.
-    known = r.join(files.select(F.col("path").alias("artifact_uri"), F.lit(True).alias("_known")), "artifact_uri", "left")
-    return _pick(ret.retrieve(known.withColumn("_ok", F.coalesce(~F.col("_known"), F.lit(True)) | F.col("symbol_valid")), QUESTION, ROLE, TICK, 10, valid_column="_ok"))
+    return _pick(ret.retrieve(r, QUESTION, ROLE, TICK, 10, valid_column="symbol_valid"))
+
+
+def retrieve_file_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Direct supersession and digests of whole files instead of symbols."""
+    r = store.artifact_valid(store.superseded(v1_records(spark, d)), _files(spark, d))
+    return _pick(ret.retrieve(r, QUESTION, ROLE, TICK, 10, valid_column="artifact_valid"))
+
+
+def legacy_hash(spark: SparkSession, d: str) -> DataFrame:
+    """The full method where records bound to another artifact than the present one are left out."""
+    got = ret.retrieve_legacy(legacy_state(spark, d), QUESTION, ROLE, TICK, SCOPE, HASH, "full", 512)
+    return got.select("id", F.round("score", 6).alias("score"), "created_at", "artifact_hash")
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +132,9 @@ QUERIES = {
     "b4_temporal": b4_temporal,
     "b5_superseded": b5_superseded,
     "retrieve_full": retrieve_full,
-    "retrieve_full_propagated": retrieve_full_propagated,
+    "retrieve_superseded": retrieve_superseded,
+    "retrieve_file_valid": retrieve_file_valid,
+    "legacy_hash": legacy_hash,
     "code_chunks": code_chunks,
     "chunk_ranking": chunk_ranking,
     "packed_context": packed_context,
@@ -152,16 +164,16 @@ sd as (select d.* exclude (status, valid_to), case when h.memory_id is not null
 from d left join hit h on h.memory_id = d.memory_id)"""
 
 
-def _legacy_sql(method: str, budget: int = 512) -> str:
+def _legacy_sql(method: str, budget: int = 512, more: str = "", shown: str = "") -> str:
     q = sorted(set(QUESTION.lower().split()))
     listed = "[" + ", ".join(f"'{w}'" for w in q) + "]"
     valid = "true" if method in ("no_validity", "recent", "raw") else f"valid_from <= {TICK} and {TICK} < valid_to and status <> 'SUPERSEDED'"
     bonus = "0.0" if method in ("no_role_bonus", "bm25", "recent", "raw") else f"(case when list_contains(role_tags, '{ROLE}') or list_contains(role_tags, 'all') then 0.5 else 0.0 end)"
     return f"""with {sql.REPLAY.strip()}, c as (
   select *, len(list_intersect({listed}, {sql.words('lower(statement)')}))::double / {len(q)}.0::double + {bonus}::double as score
-  from store where task_scope in ('global', '{SCOPE}') and {valid}
+  from store where task_scope in ('global', '{SCOPE}') and {valid}{more}
 ), r as (select *, sum(length(statement)) over (order by score desc, created_at desc, id desc rows unbounded preceding) as spent from c)
-select id, round(score, 6) as score, created_at from r where spent <= {budget * 4}"""
+select id, round(score, 6) as score, created_at{shown} from r where spent <= {budget * 4}"""
 
 
 _FILES = """m as (
@@ -195,7 +207,11 @@ ORACLES = {
     "b2_chronological": f"with {sql.DELIVERIES} select memory_id, observed_at from d order by observed_at nulls first, ingest_seq",
     "b3_bm25": _picked(_v1_sql()),
     "b4_temporal": _picked(_v1_sql(_VALID)),
-    "retrieve_full": _picked(_v1_sql(_VALID, _BONUS, source="sd", before=_SUPERSEDED)),
+    "legacy_hash": _legacy_sql("full", more=f" and artifact_hash in ('', '{HASH}')", shown=", artifact_hash"),
+    "retrieve_superseded": _picked(_v1_sql(_VALID, _BONUS, source="sd", before=_SUPERSEDED)),
+    "retrieve_file_valid": _picked(_v1_sql(_VALID + " and artifact_valid", _BONUS, source="av", before=f"""{_SUPERSEDED}, {_WORKSPACE.strip()},
+av as (select sd.*, case when coalesce(artifact_digest, '') = '' or coalesce(artifact_uri, '') = '' then true else coalesce(sha256(content) = artifact_digest, false) end as artifact_valid
+  from sd left join files on path = artifact_uri)""")),
     "code_chunks": f"with {_FILES} select task_id, path, start_line, end_line, md5(code) as code_md5 from ch",
     "chunk_ranking": _CHUNK_SCORES + " select task_id, path, start_line, round(score, 6) as score from scored where score > 0 order by round(score, 9) desc, task_id, path, start_line limit 20",
     "packed_context": _CHUNK_SCORES

@@ -86,6 +86,12 @@ def excerpts(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).where("text is not null").select("doc_id", F.md5(tx.excerpt("text", F.lit("def "))).alias("excerpt_md5")).where("excerpt_md5 is not null")
 
 
+def diff_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """Diffs among the documents, those over 1,200 characters shortened, hunks of source files first."""
+    diffs = table(spark, d, "documents").where("doc_kind = 'commit_diff' and text is not null")
+    return readers.truncated_diffs(diffs, "doc_id", "text", most=1200, least_rest=100).select("doc_id", F.md5("diff").alias("diff_md5"), F.length("diff").alias("n_chars"))
+
+
 def diff_hunks(spark: SparkSession, d: str) -> DataFrame:
     """Hunks of diffs in documents, scored by what they show; the best hunk of each document ranks first."""
     h = readers.hunks(documents(spark, d).where("doc_kind = 'commit_diff' and text is not null"), "doc_id", "text")
@@ -254,7 +260,7 @@ def attribution_rates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     k: globals()[k]
     for k in (
-        "hashes", "token_kinds", "symbol_names", "path_names", "normal_spaces", "fences", "json_fields", "version_claims", "future_terms", "excerpts", "diff_hunks",
+        "hashes", "token_kinds", "symbol_names", "path_names", "normal_spaces", "fences", "json_fields", "version_claims", "future_terms", "excerpts", "diff_excerpts", "diff_hunks",
         "best_hunks", "issue_numbers", "near_words", "roundings", "packed_headers", "value_scan", "failure_kinds", "change_kinds", "entailments", "attributions", "leakage_levels",
         "support_grades", "later_knowledge", "change_triage", "merge_kinds", "context_leakage", "provenance", "symbol_states",
         "simulated_actions", "attribution_rates",
@@ -287,6 +293,12 @@ select task_id, path, len(b) as n_blocks, md5((list_sort(list_transform(b, lambd
     "version_claims": f"with {sql.DELIVERIES}, x as (select memory_id, regexp_extract(statement, '([0-9]+\\.[0-9]+)', 1) as version, lower(statement) as st from d where statement is not null) select memory_id, version, [split_part(version, '.', 1)::int, split_part(version, '.', 2)::int] >= [5, 4] as impossible, contains(st, 'return false') and not contains(st, 'return true') as contradicted from x where version <> ''",
     "future_terms": f"with {sql.DELIVERIES} select memory_id, array_to_string(list_filter([{_TERMS}], lambda t: contains(lower(statement), t) and not contains(lower(coalesce(artifact_uri, '')), t)), ',') as terms, regexp_matches(lower(statement), '{rules.DIRECTIONS}') as states_direction from d where statement is not null",
     "excerpts": "with x as (select doc_id, string_split(text, e'\\n') as ls from documents where text is not null), y as (select *, list_position(list_transform(ls, lambda l: contains(l, 'def ')), true) as p from x) select doc_id, md5(array_to_string(ls[greatest(p - 2, 1) : p + 8], e'\\n')) as excerpt_md5 from y where p > 0",
+    "diff_excerpts": """with l as (select doc_id, text, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) as line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) as k
+  from documents where doc_kind = 'commit_diff' and length(text) > 1200),
+h as (select *, coalesce(contains(last_value(case when starts_with(line, 'diff --git') then line end ignore nulls) over (partition by doc_id order by k), 'src/'), false) as is_source from l),
+p as (select doc_id, coalesce(string_agg(line, chr(10) order by k) filter (is_source), '') as a, coalesce(string_agg(line, chr(10) order by k) filter (not is_source), '') as b from h group by 1),
+x as (select d.doc_id, case when p.doc_id is null then text when 1200 - length(a) > 100 then a || chr(10) || b[1 : 1200 - length(a)] else a end as t from documents d left join p using (doc_id) where doc_kind = 'commit_diff' and text is not null)
+select doc_id, md5(t) as diff_md5, length(t)::int as n_chars from x""",
     "diff_hunks": f"with {_HUNKS} select doc_id, hunk_no, n_added, n_removed, score, md5(hunk) as hunk_md5 from s",
     "best_hunks": f"with {_HUNKS} select doc_id, hunk_no, score, n_hunks from (select *, count(*) over (partition by doc_id) as n_hunks, row_number() over (partition by doc_id order by score desc, hunk_no) as r from s) where r = 1",
     "issue_numbers": "select doc_id, doc_id as number, null::bigint as none from documents",

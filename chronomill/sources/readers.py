@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -112,6 +114,24 @@ def diff_lines(df: DataFrame, key: str, diff: str) -> DataFrame:
     )
 
 
+def truncated_diffs(df: DataFrame, key: str, diff: str, sources: tuple[str, ...] = ("src/",), most: int = 10_000, least_rest: int = 500) -> DataFrame:
+    """(key, diff): diffs of more than ``most`` characters with the parts of source files first.
+
+    Files are sources if their path holds one of ``sources``. Their lines all stay, in order; the other lines follow
+    up to ``most`` characters where more than ``least_rest`` are left. Shorter diffs stay as they are.
+    """
+    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = df.where(F.length(diff) > most).select(key, F.posexplode(F.split(F.regexp_replace(diff, "\r\n", "\n"), "\n")).alias("line_no", "line"))
+    head = F.last(F.when(F.startswith("line", F.lit("diff --git")), F.col("line")), True).over(w)
+    is_source = F.coalesce(reduce(or_, [F.contains("_head", F.lit(s)) for s in sources]), F.lit(False))
+    lines = lines.withColumn("_head", head).withColumn("_source", is_source)
+    part = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
+    cut_ = lines.groupBy(key).agg(part(F.col("_source")).alias("_first"), part(~F.col("_source")).alias("_rest"))
+    left = F.lit(most) - F.length("_first")
+    cut_ = cut_.select(key, F.when(left > least_rest, F.concat("_first", F.lit("\n"), F.substr("_rest", F.lit(1), left))).otherwise(F.col("_first")).alias("_cut"))
+    return df.select(key, diff).join(cut_, key, "left").select(key, F.coalesce("_cut", diff).alias("diff"))
+
+
 def hunks(df: DataFrame, key: str, diff: str) -> DataFrame:
     """(key, file, hunk_no, hunk, n_added, n_removed) of unified diffs."""
     n = F.col("line")

@@ -172,3 +172,50 @@ def test_change_log_diff_and_database(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"k1": 1.5}')
     assert readers.configuration(str(tmp_path / "c.json")) == {"k1": 1.5}
     assert readers.canonical_digest({"b": 1, "a": 2}) == readers.canonical_digest({"a": 2, "b": 1})
+
+
+@pytest.mark.parametrize(
+    "source,symbols,want",
+    [
+        ("DEFAULT_TTL = 60", ["DEFAULT_TTL"], (True, False)),
+        ("def f(c):\n    return c.DEFAULT_TTL", ["DEFAULT_TTL"], (True, False)),
+        ("initialize(ttl=300)", ["ttl"], (True, False)),
+        ('h = {}\nh["X-Some-Token"] = 1', ["X-Some-Token"], (True, False)),
+        ('a = "HS256"', ["HS256"], (True, False)),
+        ('if p == "TTL":\n    pass', ["TTL"], (True, False)),
+        ('x = cfg["method_whitelist"]', ["pkg.method_whitelist"], (True, False)),
+        ("method_whitelist = 3", ["method_whitelist"], (True, False)),
+        ("from a import b as old", ["old"], (True, False)),
+        ("def old(): pass", ["m.old"], (True, False)),
+        ('"""Tells of old things."""\n# and old ones', ["old"], (False, True)),
+        ('x = "xy"', ["x y", "xyz"], (False, False)),
+        ('x = broken(\nold = 1', ["old"], (True, False)),
+        ('broken(\nx["old"]\n# old', ["old"], (True, True)),
+        ("broken(\nfine = 1", ["old"], (False, False)),
+        (None, ["old"], (False, False)),
+        ("x = 1", [None, ""], (False, False)),
+    ],
+)
+def test_stale_names(spark, source, symbols, want):
+    df = spark.createDataFrame([("k", source, symbols)], "k string, src string, names array<string>")
+    r = code.stale_names(df, "k", "src", "names").first()
+    assert (r.active, r.mention) == want
+
+
+def test_signatures_have_all_kinds_and_defaults():
+    (row,) = [r for r in code.definitions("def g(a, /, b: int = 2, *args, c=1, d, **kw): pass") if r[1] == "function"]
+    assert row[2] == "a, /, b=2, *args, c=1, d, **kw"
+    assert code.definitions("def g(a, *, k): pass")[0][2] == "a, *, k" and code.definitions("def g(): pass")[0][2] == ""
+
+
+def test_long_diffs_keep_source_files_first(spark):
+    part = lambda path, n: f"diff --git a/{path} b/{path}\n" + "\n".join(f"+{path} line {k}" for k in range(n))
+    diff = "\n".join([part("docs/a.md", 20), part("src/x.py", 10), part("README.md", 20), part("lib/src/y.py", 5)])
+    code_lines = "\n".join([part("src/x.py", 10), part("lib/src/y.py", 5)])
+    rows = [(1, diff), (2, "short"), (3, None), (4, part("docs/b.md", 99))]
+    df = spark.createDataFrame(rows, "k bigint, d string")
+    got = {r.k: r.diff for r in readers.truncated_diffs(df, "k", "d", most=len(code_lines) + 60, least_rest=50).collect()}
+    assert got[1] == code_lines + "\n" + "\n".join([part("docs/a.md", 20), part("README.md", 20)])[:60]
+    assert got[2] == "short" and got[3] is None and got[4] == "\n" + part("docs/b.md", 99)[: len(code_lines) + 60]
+    tight = {r.k: r.diff for r in readers.truncated_diffs(df, "k", "d", most=len(code_lines) + 40, least_rest=50).collect()}
+    assert tight[1] == code_lines
