@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +35,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer parts than there are cores, dealt out to all of them; a larger one as it is.
+
+    Only for plain scans that feed Python: a small file would keep a single core busy. What is moved is bounded by so
+    few parts of a file.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
+_written: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share. Only where the session names none (tests) a local one is made."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):  # not local-cluster either
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="chronomill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -48,31 +64,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def hot_keys(df: DataFrame, key: str, least_rows: int, most_keys: int = 256) -> list:
-    """The keys with at least ``least_rows`` rows, the ``most_keys`` largest of them.
-
-    The count is combined before the shuffle and at most ``most_keys`` keys reach the driver. A key that is
-    left out holds less than 1/``most_keys`` of the rows, so it needs no splitting. The list only decides
-    how work is split, never what comes out.
-    """
-    top = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .count()
-        .where(F.col("count") >= least_rows)
-        .orderBy(F.desc("count"), key)
-        .limit(most_keys)
-    )
-    return [r[0] for r in top.collect()]
-
-
-def in_keys(c: str | Column, keys: Sequence) -> Column:
-    return col(c).isin(list(keys)) if keys else F.lit(False)
+def release(spark: SparkSession) -> None:
+    """Remove what ``cut`` wrote for this application; for when the results of its queries have been taken."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
