@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronomill.common import table
+from chronomill.common import spread, table
 from chronomill.llm import codedocs, encoding, leaks, splitting, twins
 
 
@@ -28,29 +28,29 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return codedocs.found(table(spark, d, "task_environments"))
+    return codedocs.found(spread(table(spark, d, "task_environments")))
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return codedocs.pairs(table(spark, d, "task_environments"))
+    return codedocs.pairs(spread(table(spark, d, "task_environments")))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.encode_corpus(table(spark, d, "documents"))
+    return encoding.encode_corpus(spread(table(spark, d, "documents")))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
 
 
 def p9_templates(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold the template of items, with their own or other numbers, units and names."""
-    return leaks.templates(table(spark, d, "documents"), table(spark, d, "eval_items"))[0]
+    return leaks.templates(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))[0]
 
 
 def p9_members(spark: SparkSession, d: str) -> DataFrame:
     """Items that share the templates of ``p9_templates``."""
-    return leaks.templates(table(spark, d, "documents"), table(spark, d, "eval_items"))[1]
+    return leaks.templates(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))[1]
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split_documents(table(spark, d, "documents"))
+    return splitting.split_documents(spread(table(spark, d, "documents")))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
