@@ -107,6 +107,7 @@ def step(state: OrphanState | None, new_refs: DataFrame, new_parents: DataFrame)
         index = known.unionByName(arrived).groupBy("kind", "key").agg(
             *[F.min(c).alias(c) for c in ("first_at", "gone_at", "_before")], F.max("_new").alias("_new")
         )
+    index = cut(index)
     asking = new_refs.select(*REF) if state is None else state.pending.unionByName(new_refs.select(*REF))
     gone = F.coalesce(F.col("gone_at") <= F.col("ref_at"), F.lit(False))
     status = F.when(gone, "lost").when(F.col("first_at") <= F.col("ref_at"), "settled").otherwise("pending")
@@ -123,7 +124,8 @@ def step(state: OrphanState | None, new_refs: DataFrame, new_parents: DataFrame)
 
 def advance(state: OrphanState | None, new_refs: DataFrame, new_parents: DataFrame) -> OrphanState:
     """Take one batch of references and target rows into the state, which is written."""
-    parents, moved = map(cut, step(state, new_refs, new_parents))
+    parents, moved = step(state, new_refs, new_parents)
+    moved = cut(moved)
     log = moved.where("status <> 'pending'")
     return OrphanState(parents, moved.where("status = 'pending'").select(*REF), log if state is None else state.log.unionByName(log))
 
