@@ -60,17 +60,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder that ``release`` removes."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = scratch(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Remove what ``cut`` wrote for this application; for when the results of its queries have been taken."""
+    """Remove what was written to the shared folder for this application; for when the results of its queries have been taken."""
     for path in _written.pop(spark.sparkContext.applicationId, []):
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

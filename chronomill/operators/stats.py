@@ -129,11 +129,21 @@ def pooled_ratio(c: str | Column) -> tuple[Column, Column, Column]:
 
 def distribution(df: DataFrame, label: str) -> DataFrame:
     """Count and share of each value, largest first."""
-    total = df.count()
     g = df.groupBy(label).agg(F.count("*").alias("n"))
-    return g.withColumn("pct", F.round(100 * F.col("n") / F.lit(total), 2)).orderBy(F.desc("n"), F.asc_nulls_first(label))
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over the counted values, not over rows
+    return g.withColumn("pct", F.round(100 * F.col("n") / total, 2)).orderBy(F.desc("n"), F.asc_nulls_first(label))
 
 
 def capped(df: DataFrame, by: list[str], order: list[Column], cap: int) -> DataFrame:
     """The first ``cap`` rows of each group in a total order. The limit is applied per partition before the shuffle."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= cap)
+
+
+def capped_by_label(df: DataFrame, by: list[str], label: str, caps: dict[str, int], order: list[Column], total: int) -> DataFrame:
+    """At most ``caps[label]`` rows of each label in each group, and of these the first ``total`` in order of group and rows.
+
+    Labels without a cap give no row.
+    """
+    cap = F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v))])
+    placed = df.where(F.col(label).isin(*caps)).withColumn("place", F.row_number().over(Window.partitionBy(*by, label).orderBy(*order)))
+    return placed.where(F.col("place") <= cap[F.col(label)]).orderBy(*by, *order).limit(total)

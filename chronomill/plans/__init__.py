@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronomill.plans import evaluation, ledgers, matching, retrieval, store, streams, texts
+from chronomill.plans import evaluation, ledgers, matching, retrieval, sources, store, streams, texts
 
-MODULES = (ledgers, store, retrieval, evaluation, matching, texts, streams)
+MODULES = (ledgers, store, retrieval, evaluation, matching, texts, sources, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -177,6 +177,13 @@ def capped_sample(spark: SparkSession, d: str) -> DataFrame:
     return stats.capped(v1_records(spark, d).where("artifact_uri is not null"), ["artifact_uri"], [F.asc("ingest_seq")], 3).select("artifact_uri", "memory_id", "place")
 
 
+def labelled_sample(spark: SparkSession, d: str) -> DataFrame:
+    """At most three active and two superseded records of each artifact, twenty in all."""
+    v = v1_records(spark, d).where("artifact_uri is not null")
+    picked = stats.capped_by_label(v, ["artifact_uri"], "status", {"ACTIVE": 3, "SUPERSEDED": 2}, [F.asc("ingest_seq")], 20)
+    return picked.select("artifact_uri", "memory_id", "status", "place")
+
+
 def audit_counters(spark: SparkSession, d: str) -> DataFrame:
     """Reasons why documents would be rejected, counted."""
     t = F.coalesce("text", F.lit(""))
@@ -205,7 +212,7 @@ QUERIES = {
     for k in (
         "success_by_method", "confusion_by_method", "validity_metrics", "accuracy_rollup", "label_kappa", "paired_difference", "bootstrap_difference",
         "seed_spread", "ratio_pooling", "status_distribution", "group_maximum", "group_names", "check_matrix", "kill_rate", "condition_pivot",
-        "distinct_counts", "approximate_counts", "extraction_quality", "gate_reduction", "gate_verdicts", "capped_sample", "audit_counters",
+        "distinct_counts", "approximate_counts", "extraction_quality", "gate_reduction", "gate_verdicts", "capped_sample", "labelled_sample", "audit_counters",
         "claim_matching", "claim_quality",
     )
 }
@@ -284,6 +291,9 @@ p as (select subject, coalesce(max(status) filter (gate = 'causal'), 'NOT_EXECUT
 select *, case when 'NOT_EXECUTED' in (causal, semantic, leakage, controls) then 'NOT_EXECUTED' when 'STALE_AUDIT' in (causal, semantic, leakage, controls) then 'STALE_AUDIT'
   when causal = 'PASS' and semantic = 'PASS' and leakage = 'PASS' and controls in ('PASS', 'GENERATED') then 'PASS' else 'FAIL' end as verdict from p""",
     "capped_sample": f"with {sql.DELIVERIES} select artifact_uri, memory_id, row_number() over (partition by artifact_uri order by ingest_seq) as place from d where artifact_uri is not null qualify place <= 3",
+    "labelled_sample": f"""with {sql.DELIVERIES} select artifact_uri, memory_id, status, place from (
+  select *, row_number() over (partition by artifact_uri, status order by ingest_seq) as place from d where artifact_uri is not null and status in ('ACTIVE', 'SUPERSEDED'))
+where place <= case status when 'ACTIVE' then 3 else 2 end order by artifact_uri, ingest_seq limit 20""",
     "audit_counters": """select case when trim(coalesce(text, '')) = '' then 'EMPTY' when lang is null then 'NO_LANGUAGE' when captured_at is null then 'NOT_CAPTURED' when length(text) > 10000 then 'TOO_LONG' else 'ACCEPTED' end as reason,
   doc_kind, count(*) as n from documents group by all""",
 }
