@@ -66,12 +66,12 @@ def _components(n: int, up: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _contract(key: tuple, t: pa.Table, last: bool, paths: bool) -> pa.Table:
+def _contract(key: tuple, t: pa.Table, last: bool, paths: bool, ways: bool) -> pa.Table:
     """Contract the walks of one block. Input: the columns of _ROW and ``here`` (the ancestor is in this block)."""
     link = key[0].as_py()
     node, anc, least = (t[c].to_pylist() for c in ("node", "anc", "least"))
     dist, kind, here, nbs, abs_ = (t[c].to_pylist() for c in ("dist", "kind", "here", "nb", "ab"))
-    path, via = (t["path"].to_pylist(), t["via"].to_pylist()) if paths else (None, None)
+    path, via = t["path"].to_pylist() if paths else None, t["via"].to_pylist() if ways else None
     own = {x: i for i, x in enumerate(dict.fromkeys(node))}
     names, block = list(own), {}
     rows: list[list[int]] = [[] for _ in own]
@@ -101,8 +101,8 @@ def _contract(key: tuple, t: pa.Table, last: bool, paths: bool) -> pa.Table:
                 inside = {names[v] for v in group}
                 low = min([*inside, *(least[r] for v in group for r in rows[v] if kind[r] == EXIT and anc[r] in inside)])
                 # Contracted ways between members are on the cycle too, and what is above one member is above all.
-                near = set(inside) if paths else set()
-                for r in (r for v in group for r in rows[v] if paths):
+                near = set(inside) if ways else set()
+                for r in (r for v in group for r in rows[v] if ways):
                     near.update(via[r], [anc[r]])
                     if anc[r] in own and anc[r] not in inside:
                         for (a, _, k), (_, _, all2) in result[own[anc[r]]].items():
@@ -112,11 +112,11 @@ def _contract(key: tuple, t: pa.Table, last: bool, paths: bool) -> pa.Table:
             else:
                 for v in group:
                     for r in rows[v]:
-                        put(result[v], (anc[r], dist[r], kind[r]), least[r], tuple(path[r]) if paths else (), frozenset(via[r]) if paths else frozenset())
+                        put(result[v], (anc[r], dist[r], kind[r]), least[r], tuple(path[r]) if paths else (), frozenset(via[r]) if ways else frozenset())
             continue
         v = group[0]
         for r in rows[v]:
-            way, all_ = (tuple(path[r]), frozenset(via[r])) if paths else ((), frozenset())
+            way, all_ = tuple(path[r]) if paths else (), frozenset(via[r]) if ways else frozenset()
             if kind[r] != EXIT or not here[r]:
                 put(result[v], (anc[r], dist[r], kind[r]), least[r], way, all_)
             elif anc[r] not in own:
@@ -124,7 +124,7 @@ def _contract(key: tuple, t: pa.Table, last: bool, paths: bool) -> pa.Table:
             elif not last and (looped[own[anc[r]]] or parted[own[anc[r]]]):
                 put(result[v], (anc[r], dist[r], EXIT), least[r], way, all_)
             else:
-                step = frozenset([anc[r]]) if paths else all_
+                step = frozenset([anc[r]]) if ways else all_
                 for (a, d, k), (low, way2, all2) in result[own[anc[r]]].items():
                     put(result[v], (a, -1 if k == CYCLE else d + dist[r], k), min(low, least[r]), way + way2, all_ | step | all2)
         # A record that leaves the block and has another end as well: on a cycle across blocks, the other end does not count.
@@ -140,13 +140,13 @@ def _contract(key: tuple, t: pa.Table, last: bool, paths: bool) -> pa.Table:
     return pa.table([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], names=[f.split()[0] for f in _ROW.split(", ")])
 
 
-def _contracted(rows: DataFrame, width: int, last: bool, paths: bool) -> DataFrame:
+def _contracted(rows: DataFrame, width: int, last: bool, paths: bool, ways: bool) -> DataFrame:
     wide = lambda c: F.floor(F.col(c) / width).cast("bigint")
     here = F.lit(True) if last else F.coalesce(wide("nb") == wide("ab"), F.lit(False))
     block = F.lit(0).cast("bigint") if last else wide("nb")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        return _contract(key, t, last, paths)
+        return _contract(key, t, last, paths, ways)
 
     return (
         rows.withColumn("here", here)
@@ -156,7 +156,7 @@ def _contracted(rows: DataFrame, width: int, last: bool, paths: bool) -> DataFra
     )
 
 
-def _joined(rows: DataFrame, solved: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, solved: DataFrame, ways: bool) -> DataFrame:
     """Exit rows continued by the solved rows of the record they point to; without such rows it is a root."""
     q = solved.select(
         "link", F.col("node").alias("anc"), *[F.col(c).alias(f"_{c}") for c in ("anc", "ab", "dist", "kind", "least", "path", "via")]
@@ -172,7 +172,7 @@ def _joined(rows: DataFrame, solved: DataFrame) -> DataFrame:
         F.coalesce("_kind", F.lit(ROOT)).alias("kind"),
         F.least("least", "_least").alias("least"),
         F.concat("path", F.coalesce("_path", no)).alias("path"),
-        F.when(some, F.array_except(F.array_union("via", F.array_union(F.array("anc"), "_via")), F.array("node"))).otherwise(F.col("via")).alias("via"),
+        F.when(some, F.array_except(F.array_union("via", F.array_union(F.array("anc"), "_via")), F.array("node"))).otherwise(F.col("via")).alias("via") if ways else "via",
     )
 
 
@@ -186,7 +186,7 @@ def _unique(rows: DataFrame, paths: bool) -> DataFrame:
     return merged.select(*[f.split()[0] for f in _ROW.split(", ")])
 
 
-def _peel(rows: DataFrame, task_rows: int, paths: bool) -> DataFrame:
+def _peel(rows: DataFrame, task_rows: int, paths: bool, ways: bool) -> DataFrame:
     """Resolve finished layers by joins until the unfinished rows fit one task (or all of them lie on cycles)."""
     left = rows.where(F.col("kind") == EXIT).count()
     while left > task_rows:
@@ -195,14 +195,14 @@ def _peel(rows: DataFrame, task_rows: int, paths: bool) -> DataFrame:
         stuck = rows.where(exits).join(open_nodes, ["link", "anc"], "left_semi")
         free = rows.where(exits).join(open_nodes, ["link", "anc"], "left_anti")
         done = rows.where(~exits)
-        rows = cut(_unique(done.unionByName(stuck).unionByName(_joined(free, done)), paths))
+        rows = cut(_unique(done.unionByName(stuck).unionByName(_joined(free, done, ways)), paths))
         before, left = left, rows.where(F.col("kind") == EXIT).count()
         if left >= before:
             break
     return rows
 
 
-def _resolve(rows: DataFrame, width: int, n_blocks: int, task_rows: int, paths: bool) -> DataFrame:
+def _resolve(rows: DataFrame, width: int, n_blocks: int, task_rows: int, paths: bool, ways: bool) -> DataFrame:
     exits = rows.where(F.col("kind") == EXIT)
     targets = exits.select("link", F.col("anc").alias("node")).distinct()
     quotient = cut(rows.join(targets, ["link", "node"], "left_semi").select(*rows.columns))
@@ -211,15 +211,15 @@ def _resolve(rows: DataFrame, width: int, n_blocks: int, task_rows: int, paths:
     if n:
         width, n_blocks = width * WIDEN, -(-n_blocks // WIDEN)
         if n > task_rows and n_blocks == 1:
-            quotient = _peel(quotient, task_rows, paths)
+            quotient = _peel(quotient, task_rows, paths, ways)
         if n <= task_rows or n_blocks == 1:
-            solved = _contracted(quotient, width, True, paths)
+            solved = _contracted(quotient, width, True, paths, ways)
         else:
-            solved = _resolve(cut(_contracted(quotient, width, False, paths)), width, n_blocks, task_rows, paths)
+            solved = _resolve(cut(_contracted(quotient, width, False, paths, ways)), width, n_blocks, task_rows, paths, ways)
     # What the quotient answers about its own records holds; a record on a cycle has no other ends.
     rest = rows.join(targets, ["link", "node"], "left_anti").select(*rows.columns) if n else rows
     done, exits = rest.where(F.col("kind") != EXIT), rest.where(F.col("kind") == EXIT)
-    ends = done.unionByName(_joined(exits, solved))
+    ends = done.unionByName(_joined(exits, solved, ways))
     return _unique(ends.unionByName(solved) if n else ends, paths)
 
 
@@ -231,13 +231,16 @@ def walks(
     paths: bool = False,
     block_rows: int = BLOCK_ROWS,
     task_rows: int = TASK_ROWS,
+    ways: bool | None = None,
 ) -> DataFrame:
     """(link, node, anc, dist, kind, path, via): each distinct end that a record with a parent reaches.
 
     ``links`` maps a link's name to the column with the parent key or keys. kind is 1 for a root, 2 for a
     cycle. With ``paths``, path runs from the record up to the one below the end (the least such path), and
-    via has all records on any of the ways; for a walk into a cycle also all others on the cycle and above it.
+    via has all records on any of the ways, unless ``ways`` is off; for a walk into a cycle also all others on the
+    cycle and above it.
     """
+    ways = paths if ways is None else ways
     keys = {
         k: F.array_distinct(F.transform(c, norm_key)) if df.schema[c].dataType.typeName() == "array" else F.array(norm_key(c))
         for k, c in links.items()
@@ -265,5 +268,5 @@ def walks(
             F.array().cast("array<string>").alias("via"),
         )
     )
-    rows = cut(_contracted(edges, 1, False, paths))
-    return _resolve(rows, 1, n_blocks, task_rows, paths)
+    rows = cut(_contracted(edges, 1, False, paths, ways))
+    return _resolve(rows, 1, n_blocks, task_rows, paths, ways)

@@ -97,9 +97,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_history(spark, d).select("id", "version_from", "version_to")
 
 
-def _links(spark: SparkSession, d: str, paths: bool) -> DataFrame:
+def _links(spark: SparkSession, d: str, paths: bool, ways: bool = False) -> DataFrame:
     v1 = table(spark, d, "memory_records_v1")
-    return hierarchy.walks(v1, "memory_id", "ingest_seq", {"supersedes": "supersedes", "depends_on": "depends_on"}, paths)
+    return hierarchy.walks(v1, "memory_id", "ingest_seq", {"supersedes": "supersedes", "depends_on": "depends_on"}, paths, ways=ways)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +124,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Each record with every other record below it, also through cycles: members of a cycle list each other."""
     ends = F.when(F.col("kind") == hierarchy.ROOT, F.array_union("via", F.array("anc"))).otherwise(F.col("via"))
     return (
-        _links(spark, d, True)
+        _links(spark, d, True, True)
         .select("link", F.explode(ends).alias("memory_id"), F.col("node").alias("descendant_id"))
         .distinct()
     )

@@ -119,7 +119,7 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "memory_records").select("id")
     b = events(spark, d).select(norm_key("record_id").alias("id")).where("id is not null")
     size = lambda name, x: x.agg(F.count("*").alias("n")).select(F.lit(name).alias("operation"), "n")
-    return size("union", a.union(b).distinct()).union(size("intersect", a.intersect(b))).union(size("except", a.exceptAll(a.intersect(a)).distinct())).union(size("only_events", b.subtract(a)))
+    return size("union", a.union(b).distinct()).union(size("intersect", a.intersect(b))).union(size("except", a.subtract(b))).union(size("only_events", b.subtract(a)))
 
 
 def api_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -203,5 +203,5 @@ from (select * from r where k = 0) a full join (select * from r where k = 1) b o
     "set_operations": f"""with {_E}, a as (select distinct id from memory_records), b as (select distinct {sql.key('record_id')} as id from e where {sql.key('record_id')} is not null),
 m as (select count(*) - count(distinct id) as extra, count(distinct id) as n from memory_records)
 select 'union' as operation, (select count(*) from (select id from a union select id from b)) as n union all select 'intersect', (select count(*) from a where id in (select id from b))
-union all select 'except', (select count(*) from (select id from memory_records group by id having count(*) > 1)) union all select 'only_events', (select count(*) from b where id not in (select id from a))""",
+union all select 'except', (select count(*) from a where id not in (select id from b)) union all select 'only_events', (select count(*) from b where id not in (select id from a))""",
 }
