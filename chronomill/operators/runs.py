@@ -13,14 +13,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-RUN_BYTES = 32 << 20
+RUN_BYTES, MOST_RUNS = 32 << 20, 100_000
 
 
 def n_runs(df: DataFrame, run_bytes: int = RUN_BYTES) -> int:
-    """Number of runs by the size the planner expects; at least one for each core."""
+    """Number of runs by the size the planner expects; at least one for each core.
+
+    At most ``MOST_RUNS``, as their borders are held by the driver; beyond that runs grow instead.
+    """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size if size < 1 << 60 else 0
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-known // run_bytes))
+    return min(MOST_RUNS, max(df.sparkSession.sparkContext.defaultParallelism, -(-known // run_bytes)))
 
 
 def in_runs(df: DataFrame, order: list[str], each: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, runs: int | None = None) -> DataFrame:
