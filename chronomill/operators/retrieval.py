@@ -167,6 +167,7 @@ def packed(scored: DataFrame, max_tokens: int, order: list[str], tokens_of=None,
     count = tokens_of or (lambda c: F.size(tx.simple_tokens(c)))
     head = count(F.lit(header))
     ranks = [F.desc(F.round("score", 9)), *[F.asc(c) for c in order]]
+    # The wording of a block's head.
     block = F.concat(F.lit("# File: "), F.col("path"), F.lit(" (Lines "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit(")\n"), F.col("code"), F.lit("\n\n"))
     top = scored.where("score > 0").orderBy(*ranks).limit(max_tokens).withColumn("block", block).withColumn("n_tokens", count(F.col("block")).cast("bigint"))
     w = Window.orderBy(*ranks)
@@ -191,6 +192,7 @@ def estimated_tokens(c: Column) -> Column:
 
 def memory_line() -> Column:
     """One record as a Markdown line with its artifact and evidence."""
+    # The wording of a memory line.
     art = F.when(F.col("artifact_uri") != "", F.concat(F.lit(" [Artifact: "), "artifact_uri", F.lit("]"))).otherwise("")
     ev = F.when(F.col("evidence_ref") != "", F.concat(F.lit(" [Evidence: "), "evidence_type", F.lit(" ("), "evidence_ref", F.lit(")]"))).otherwise("")
     return F.concat(F.lit("- **"), "memory_id", F.lit("** ("), "artifact_type", F.lit(")"), art, F.lit(": "), F.coalesce("statement", F.lit("")), ev)

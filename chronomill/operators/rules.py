@@ -88,8 +88,10 @@ def adjudicated(a: Column, b: Column, human: Column, prior: Column) -> tuple[Col
     return F.when(agree, a).otherwise(F.coalesce(human, prior)), first_match([("CONSENSUS", agree), ("HUMAN_ADJUDICATED", human.isNotNull())], "EVIDENCE_ADJUDICATED")
 
 
-# Wordings of deprecation, removal and replacement.
-DIRECTIONS = r"\b(?:deprecat|remov|replac|renam)|\b(?:favor|instead|no longer|disuse)\b"
+# Beginnings of words, and whole words, that tell of deprecation, removal and replacement.
+DIRECTION_STEMS, DIRECTION_WORDS = ("deprecat", "remov", "replac", "renam"), ("favor", "instead", "no longer", "disuse")
+DIRECTIONS = rf"\b(?:{'|'.join(DIRECTION_STEMS)})|\b(?:{'|'.join(DIRECTION_WORDS)})\b"
+# What a claim may do with a symbol, and wordings of what came later.
 ACTIONS = ("use", "call", "import", "access", "catch", "raise", "replace", "pass", "remove", "deprecate", "get", "set", "inspect")
 FUTURE_TERMS = (
     "will be removed", "deprecated in", "removed in", "replaced by", "should be migrated", "future version", "later version",
@@ -173,6 +175,7 @@ def factuality(leaks: Column, grounded: Column, contradicted: Column) -> Column:
     return first_match([("CONTRADICTED", contradicted), ("FACTUALLY_SUPPORTED", grounded & (F.size(leaks) == 0))], "INSUFFICIENT_EVIDENCE")
 
 
+# Paths of documents and of tests.
 _DOCS, _TESTS = r"^docs?/|\.(?:md|rst|txt)$", r"^(?:test|tests|testing)/"
 
 
@@ -201,7 +204,8 @@ def merge_kind(merged: Column, merge_commit: Column, head: Column, target: Colum
 
 
 # Wordings of migration advice in comments.
-_ADVICE = r"(?im)^[ \t]*(?:#|\*|\"\"\").*(?:use .* instead of|deprecated.*use|replaced by|migrate from|in favor of)"
+ADVICE = ("use .* instead of", "deprecated.*use", "replaced by", "migrate from", "in favor of")
+_ADVICE = rf'(?im)^[ \t]*(?:#|\*|""").*(?:{"|".join(ADVICE)})'
 
 
 def context_leakage(context: Column, target: Column, replacements: Column) -> Column:
