@@ -20,4 +20,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.retrieve_full(spark, sf_dir)
+    return retrieval.retrieve_superseded(spark, sf_dir)
