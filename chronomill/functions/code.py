@@ -300,7 +300,7 @@ def deprecated_use(snippets: DataFrame, key: str, source: str, symbols: str, key
     where no dotted names are given, and as keyword or in ``getattr`` always. Own definitions hide imports.
     """
     # The facts are asked three times and parsed once.
-    f = cut(source_facts(snippets, key, source))
+    f = cut(source_facts(snippets, key, source).where("kind not in ('name', 'define', 'literal')"))
     named = snippets.select(key, F.explode(F.transform(F.array_distinct(symbols), lambda s: F.trim(s))).alias("symbol")).where("symbol <> ''")
     dotted = F.contains("symbol", F.lit("."))
     any_dotted = named.groupBy(key).agg(F.bool_or(dotted).alias("_any"))
