@@ -7,9 +7,15 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronomill.operators import assignment
+
+DENSE = 1 << 20
+"""Pairs up to which the assignment by shared words is solved over a matrix."""
+
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of a least-cost assignment of rows to columns (shortest augmenting paths with potentials)."""
@@ -67,32 +73,54 @@ def best_pairs(scored: DataFrame, group: str, left: str, right: str, score: str)
     return scored.select(group, left, right, F.col(score).cast("double").alias(score)).groupBy(group).applyInPandas(solve, schema)
 
 
+def word_pairs(side: pa.Array, key: pa.Array, words: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Keys of side 0, of side 1 and numbers of shared words of the best pairs of one group."""
+    n = pc.sum(side).as_py()
+    if n * (len(side) - n) > DENSE:
+        order = pc.sort_indices(key)
+        rows = [order.filter(pc.equal(side.take(order), k)) for k in (0, 1)]
+        lists = [words.take(r) for r in rows]
+        numbered = pa.chunked_array([x.flatten() for x in lists]).dictionary_encode()  # one numbering for both sides
+        i, j, w = assignment.assign_words(*((np.r_[0, np.cumsum(x.value_lengths())], c.indices.to_numpy()) for x, c in zip(lists, numbered.chunks, strict=True)))
+        return key.take(rows[0].take(pa.array(i))), key.take(rows[1].take(pa.array(j))), pa.array(w.astype(float))
+    ids: tuple[list, list] = ([], [])
+    at: dict[str, tuple[list[int], list[int]]] = {}
+    for i, k, ws in sorted(zip(key.to_pylist(), side.to_pylist(), words.to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0])):
+        for w in ws:
+            at.setdefault(w, ([], []))[k].append(len(ids[k]))
+        ids[k].append(i)
+    cost = np.zeros([len(x) for x in ids], np.int32)
+    for a, b in at.values():
+        if a and b:
+            cost[np.array(a)[:, None], b] -= 1
+    kept = [(i, j) for i, j in assign(cost) if cost[i, j] < 0] if cost.size else []
+    return pa.array([ids[0][i] for i, _ in kept], key.type), pa.array([ids[1][j] for _, j in kept], key.type), pa.array([-float(cost[i, j]) for i, j in kept], pa.float64())
+
+
 def best_word_pairs(lefts: DataFrame, rights: DataFrame, group: str, left: str, right: str, words: str, score: str) -> DataFrame:
     """(group, left, right, score): as ``best_pairs``, scored by the number of shared ``words`` (distinct ones).
 
-    Each record is shuffled once, not each pair. A group is solved whole in one task, over a matrix of four bytes a pair.
+    Each record is shuffled once, not each pair.
+    """
+    side = lambda d, k, c: d.select(group, F.lit(k).alias("_side"), F.col(c).alias("_id"), words)
+    return best_side_pairs(side(lefts, 0, left).unionByName(side(rights, 1, right)), group, "_side", "_id", words, left, right, score)
+
+
+def best_side_pairs(records: DataFrame, group: str, side: str, key: str, words: str, left: str, right: str, score: str) -> DataFrame:
+    """As ``best_word_pairs``, of one table whose ``side`` is 0 or 1.
+
+    A group is solved whole in one task: a small one over a matrix, a larger one by ``assignment``, whose memory grows
+    with the records.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in [*lefts.schema.fields, *rights.schema.fields]}
+    kinds = {f.name: f.dataType.simpleString() for f in records.schema.fields}
 
     def solve(t: pa.Table) -> pa.Table:
-        t = t.sort_by("_id")
-        ids, at = ([], []), {}
-        for k, i, ws in zip(t["_side"].to_pylist(), t["_id"].to_pylist(), t["_words"].to_pylist(), strict=True):
-            for w in ws:
-                at.setdefault(w, ([], []))[k].append(len(ids[k]))
-            ids[k].append(i)
-        cost = np.zeros([len(x) for x in ids], np.int32)
-        for a, b in at.values():
-            if a and b:
-                cost[np.ix_(a, b)] -= 1
-        kept = [(i, j) for i, j in assign(cost) if cost[i, j] < 0] if cost.size else []
-        one = t["_id"].type
-        cols = [pa.array([t[group][0].as_py()] * len(kept), t[group].type), pa.array([ids[0][i] for i, _ in kept], one), pa.array([ids[1][j] for _, j in kept], one), pa.array([-float(cost[i, j]) for i, j in kept], pa.float64())]
-        return pa.table(cols, names=[group, left, right, score])
-
-    side = lambda d, k, c: d.where(F.size(words) > 0).select(group, F.lit(k).alias("_side"), F.col(c).alias("_id"), F.col(words).alias("_words"))
-    schema = f"{group} {kinds[group]}, {left} {kinds[left]}, {right} {kinds[right]}, {score} double"
-    return side(lefts, 0, left).unionByName(side(rights, 1, right)).groupBy(group).applyInArrow(solve, schema)
+        a, b, w = word_pairs(*(t[c].combine_chunks() for c in ("_side", "_id", "_words")))
+        return pa.table([pa.array([t[group][0].as_py()] * len(w), t[group].type), a, b, w], names=[group, left, right, score])
+
+    schema = f"{group} {kinds[group]}, {left} {kinds[key]}, {right} {kinds[key]}, {score} double"
+    rows = records.where((F.size(words) > 0) & F.col(side).isin(0, 1)).select(group, F.col(side).cast("int").alias("_side"), F.col(key).alias("_id"), F.col(words).alias("_words"))
+    return rows.groupBy(group).applyInArrow(solve, schema)
 
 
 def field_differences(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:

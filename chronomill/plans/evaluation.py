@@ -191,12 +191,18 @@ def audit_counters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy(reason.alias("reason"), "doc_kind").agg(F.count("*").alias("n"))
 
 
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    """Records at their first delivery, of what claims need."""
+    one = F.min_by(F.struct("artifact_uri", "observed_at", "statement"), "ingest_seq").alias("_r")
+    v = table(spark, d, "memory_records_v1").where("memory_id <> ''").groupBy("memory_id").agg(F.min("ingest_seq").alias("ingest_seq"), one)
+    return v.select("memory_id", "ingest_seq", "_r.*").where("artifact_uri <> '' and observed_at is not null")
+
+
 def claim_matching(spark: SparkSession, d: str) -> DataFrame:
     """Records with even sequence as gold and odd as generated claims of one artifact, matched one to one."""
-    v = v1_records(spark, d).where("artifact_uri <> '' and observed_at is not null")
     words = F.array_distinct(F.filter(F.split(F.lower("statement"), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 2))
-    side = lambda k, n: v.where(F.pmod("ingest_seq", F.lit(2)) == k).select(F.col("artifact_uri").alias("claim_group"), F.col("memory_id").alias(n), words.alias("words"))
-    return matching.best_word_pairs(side(0, "gold_id"), side(1, "claim_id"), "claim_group", "gold_id", "claim_id", "words", "score")
+    v = _claims(spark, d).select(F.col("artifact_uri").alias("claim_group"), F.pmod("ingest_seq", F.lit(2)).alias("side"), "memory_id", words.alias("words"))
+    return matching.best_side_pairs(v, "claim_group", "side", "memory_id", "words", "gold_id", "claim_id", "score")
 
 
 def claim_quality(spark: SparkSession, d: str) -> DataFrame:

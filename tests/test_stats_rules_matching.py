@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronomill.operators import matching, rules, stats
+from chronomill.operators import assignment, matching, rules, stats
 from chronomill.plans import evaluation
 
 
@@ -51,6 +53,40 @@ def test_best_word_pairs_against_all_orders(spark):
         assert sum(x.s for x in mine) == best and len({x.l for x in mine}) == len({x.r for x in mine}) == len(mine)
 
 
+def _claims(rng, sizes, vocabulary):
+    weights = [1 / (k + 1) for k in range(vocabulary)]
+    rows = [(k, f"{k}-{i:05d}", list(dict.fromkeys(f"w{x}" for x in rng.choices(range(vocabulary), weights, k=rng.randint(1, 12))))) for k, n in enumerate(sizes) for i in range(n)]
+    rng.shuffle(rows)
+    return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.list_(pa.string())), strict=True)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"COLUMNS": 2, "CELLS": 50, "FOUND": 1, "KEPT": 50}])
+def test_word_pairs_of_a_large_group_have_the_total_of_the_matrix(monkeypatch, limits):
+    rng = random.Random(7)
+    for k, v in limits.items():
+        monkeypatch.setattr(assignment, k, v)
+    for sizes in [(1, 1), (1, 40), (40, 3), (60, 60), (50, 60), (300, 280)]:
+        for vocabulary in (3, 30, 400):
+            claims = _claims(rng, sizes, vocabulary)
+            words = {i: set(w) for i, w in zip(*(c.to_pylist() for c in claims[1:]), strict=True)}
+            monkeypatch.setattr(matching, "DENSE", 1 << 20)
+            dense = matching.word_pairs(*claims)
+            monkeypatch.setattr(matching, "DENSE", 0)
+            a, b, w = (c.to_pylist() for c in matching.word_pairs(*claims))
+            assert sum(w) == sum(dense[2].to_pylist())
+            assert len(set(a)) == len(set(b)) == len(a) and all(len(words[i] & words[j]) == n > 0 for i, j, n in zip(a, b, w, strict=True))
+
+
+def test_word_pairs_of_a_large_group_make_no_matrix():
+    claims = _claims(random.Random(5), (6000, 6000), 3000)
+    tracemalloc.start()
+    a, _, w = matching.word_pairs(*claims)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) > 5000 and sum(w.to_pylist()) > 10_000
+    assert peak < 2 * 6000 * 6000  # a matrix has four bytes a pair
+
+
 def test_confusion_and_quality(spark):
     df = spark.createDataFrame([(True, True)] * 3 + [(True, False)] + [(False, False)] * 4 + [(False, True)] * 2 + [(False, None)], "t boolean, p boolean")
     r = stats.quality(stats.confusion(df, [], F.col("t"), F.col("p"))).first()
