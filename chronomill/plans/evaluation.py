@@ -206,7 +206,7 @@ def claim_matching(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_quality(spark: SparkSession, d: str) -> DataFrame:
-    v = v1_records(spark, d).where("artifact_uri <> '' and observed_at is not null")
+    v = _claims(spark, d)
     zero, even = F.lit(0).cast("bigint"), (F.pmod("ingest_seq", F.lit(2)) == 0).cast("bigint")
     claims = v.select(zero.alias("matched"), zero.alias("matched_optional"), even.alias("required"), zero.alias("optional"), (1 - even).alias("claims"))
     row = claims.unionByName(claim_matching(spark, d).select(F.lit(1).cast("bigint").alias("matched"), *[zero.alias(c) for c in claims.columns[1:]]))

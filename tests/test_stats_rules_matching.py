@@ -40,6 +40,23 @@ def test_claims_of_one_artifact_far_apart_in_time(spark, data, tmp_path):
     assert evaluation.claim_quality(spark, str(tmp_path)).first().matched == 2
 
 
+def test_quality_of_an_artifact_too_large_for_a_matrix(spark, data, tmp_path):
+    one = spark.read.parquet(f"{data}/memory_records_v1.parquet").limit(1)
+    k = F.col("k")
+    n = 2300
+    twin = F.concat(F.lit("note about item"), F.floor(k / 2).cast("string"))  # 2j and 2j + 1 share one more word than any others
+    at_ = {"ingest_seq": k, "memory_id": F.concat(F.lit("m"), k.cast("string")), "statement": twin, "observed_at": k.cast("double"), "artifact_uri": F.lit("a.py")}
+    records = one.crossJoin(spark.range(n).select(F.col("id").alias("k"))).withColumns(at_).drop("k")
+    records.unionByName(records.withColumn("ingest_seq", F.col("ingest_seq") + 2 * n)).write.parquet(f"{tmp_path}/memory_records_v1.parquet")
+    assert (n // 2) ** 2 > matching.DENSE
+    pairs = evaluation.claim_matching(spark, str(tmp_path)).collect()
+    assert len(pairs) == n // 2 and all(int(r.claim_id[1:]) == int(r.gold_id[1:]) + 1 and r.score == 3.0 for r in pairs)
+    quality = evaluation.claim_quality(spark, str(tmp_path))
+    assert tuple(quality.first()) == (n // 2, 0, n // 2, 0, n // 2, 1.0, 1.0, 1.0, 0.0)
+    plan = quality._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("artifact_type" in x for x in plan if "Relation" not in x)  # only what claims need is moved
+
+
 def test_best_word_pairs_against_all_orders(spark):
     rng = random.Random(3)
     side = lambda p, n: [(g, f"{p}{k}", rng.sample("abcdef", rng.randint(0, 4))) for g in "xyz" for k in range(n)]
